@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvlake.llm.graph import connected_components
-from kvlake.llm.storage import Scratch, bounded_batches
+from kvlake.llm.storage import Scratch, prepare_workers
 
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -113,7 +113,7 @@ def bk_links(values: Iterable[int], radius: int) -> list[tuple[int, int]]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """``(id, fp)`` for every row; a null or blank text has fingerprint zero."""
-    bounded_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

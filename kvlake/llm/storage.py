@@ -11,6 +11,8 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,8 +52,19 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
-    """Bound what one Arrow batch hands to a Python worker, by rows and bytes."""
+_shipped: set[str] = set()
+
+
+def prepare_workers(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Give Python workers this package, and bound one Arrow batch by rows and bytes."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        archive = Path(tempfile.mkdtemp(prefix="kvlake-")) / f"{package.name}_code.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, str(file.relative_to(package.parent)))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    with contextlib.suppress(Exception):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
