@@ -18,6 +18,8 @@ from kvlake.llm.storage import Scratch
 
 #: Bits of the bitmap filter: 2,048 bitmaps of 4 KiB, at most 8 MiB in all.
 FILTER_BITS = 1 << 26
+#: A bloom filter on the digest in each file, sized by what the file holds.
+_FILTERED = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": "262144"}
 
 
 def normalised(text: Column) -> Column:
@@ -38,14 +40,14 @@ def flush_runs(rows: DataFrame, memtables: int, scratch: Scratch, name: str = "l
     """
     filed = rows.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(memtables)).cast("int"))
     runs = filed.groupBy("run", "digest").agg(F.min("id").alias("low"), F.count("*").alias("n"))
-    ordered = runs.sortWithinPartitions("run", "digest")
-    return scratch.table(ordered, name, ("run",), **{"parquet.bloom.filter.enabled#digest": "true"})
+    ordered = runs.repartitionByRange("run", "digest").sortWithinPartitions("run", "digest")
+    return scratch.table(ordered, name, ("run",), **_FILTERED)
 
 
 def compact(runs: DataFrame, scratch: Scratch, name: str = "level1") -> DataFrame:
     """Merge runs into one level: smallest id and total rows of each digest."""
     merged = runs.groupBy("digest").agg(F.min("low").alias("low"), F.sum("n").alias("n"))
-    return scratch.table(merged.sortWithinPartitions("digest"), name, **{"parquet.bloom.filter.enabled#digest": "true"})
+    return scratch.table(merged.sortWithinPartitions("digest"), name, **_FILTERED)
 
 
 def _position(digest: Column) -> Column:

@@ -68,6 +68,54 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
     return np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")
 
 
+class BKTree:
+    """Integers under Hamming distance; each node's children by distance to it."""
+
+    def __init__(self) -> None:
+        self.root: list | None = None
+
+    def near(self, value: int, radius: int) -> list:
+        """What was added with values within the radius; other edges are not followed."""
+        found, stack = [], [self.root] if self.root else []
+        while stack:
+            held, item, below = stack.pop()
+            d = (held ^ value).bit_count()
+            if d <= radius:
+                found.append(item)
+            if below:
+                stack += [child for k, child in below.items() if d - radius <= k <= d + radius]
+        return found
+
+    def add(self, value: int, item: object) -> None:
+        leaf: list = [value, item, {}]
+        if self.root is None:
+            self.root = leaf
+            return
+        node = self.root
+        while (nxt := node[2].get(d := (node[0] ^ value).bit_count())) is not None:
+            node = nxt
+        node[2][d] = leaf
+
+
+class _Groups:
+    """Disjoint groups of items."""
+
+    def __init__(self) -> None:
+        self.parent: dict = {}
+
+    def find(self, x):
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    def join(self, a, b) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.parent[b] = a
+        return a != b
+
+
 def bk_links(values: Iterable[int], radius: int) -> list[tuple[int, int]]:
     """Links that span the groups of a shard: one less than each group's members.
 
@@ -75,39 +123,10 @@ def bk_links(values: Iterable[int], radius: int) -> list[tuple[int, int]]:
     link inside a group that is joined already is left out: it changes no group,
     and a dense group would make the square of its size of them.
     """
-    root: list | None = None
-    parent: dict[int, int] = {}
-    links: list[tuple[int, int]] = []
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for value in values:
-        if value in parent:
-            continue
-        parent[value] = value
-        if root is None:
-            root = [value, {}]
-            continue
-        stack = [root]
-        while stack:
-            held, below = stack.pop()
-            d = (held ^ value).bit_count()
-            if d <= radius:
-                a, b = find(held), find(value)
-                if a != b:
-                    parent[b] = a
-                    links.append((held, value))
-            for k, child in below.items():
-                if d - radius <= k <= d + radius:
-                    stack.append(child)
-        node = root
-        while (nxt := node[1].get(d := (node[0] ^ value).bit_count())) is not None:
-            node = nxt
-        node[1][d] = [value, {}]
+    tree, groups, links = BKTree(), _Groups(), []
+    for value in dict.fromkeys(values):
+        links += [(held, value) for held in tree.near(value, radius) if groups.join(held, value)]
+        tree.add(value, value)
     return links
 
 
@@ -198,3 +217,164 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+#: Shape of the long fingerprints: 16 words of 64 bits, dealt by 64 bands of 16
+#: bits; the first 256 bits are compared where two texts meet.  At similarity 0.8
+#: a bit differs with chance 0.15, so 1 - (1 - 0.85 ** 16) ** 64 = 0.99 of such
+#: pairs share a band, and 0.999 of these differ in at most 57 of 256 bits.
+LANES, BANDS, SKETCH_BYTES, SKETCH_RADIUS = 16, 64, 32, 57
+_KEY_BYTES = 16
+
+
+def _text_key(text: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, _KEY_BYTES)
+
+
+def long_sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``(key, id, sketch, bands)`` of every row; ``key`` names the text."""
+    prepare_workers(docs.sparkSession)
+    source = docs.select(_text_key(F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.arange(BANDS, dtype=np.int32) << 16
+        for batch in batches:
+            prints = [fingerprint(shingle_hashes(x.as_py(), words), LANES) for x in batch.column(2)]
+            bands = pa.array([first + f.view("<u2") for f in prints], pa.list_(pa.int32()))
+            sketch = pa.array([f.tobytes()[:SKETCH_BYTES] for f in prints], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sketch, bands], ["key", "id", "sketch", "bands"])
+
+    return source.mapInArrow(scan, f"key binary, id {source.schema['id'].dataType.simpleString()}, sketch binary, bands array<int>")
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Items of each bucket with several, from rows sorted by bucket."""
+    last, items = None, []
+    for batch in batches:
+        buckets = batch.column(0).to_numpy()
+        if not len(buckets):
+            continue
+        cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
+        held = batch.column(1)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if buckets[a] != last:
+                if len(items) > 1:
+                    yield int(last), items
+                last, items = buckets[a], []
+            items += held.slice(a, b - a).to_pylist()
+    if len(items) > 1:
+        yield int(last), items
+
+
+def _pair_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [("bucket", pa.int32()), ("u", pa.binary()), ("v", pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
+
+
+def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a bucket within the sketch radius; of a dense one, spanning links.
+
+    A dense bucket (over eight pairs an item) adds a row without a pair, so that
+    what its spanning links leave open is looked at again.
+    """
+    rows: list[tuple] = []
+    for bucket, items in _meetings(batches):
+        tree, groups, spanning, every = BKTree(), _Groups(), [], []
+        for item in items:
+            key, value = item[:_KEY_BYTES], int.from_bytes(item[_KEY_BYTES:], "little")
+            for other in tree.near(value, SKETCH_RADIUS):
+                pair = (bucket, min(key, other), max(key, other))
+                if groups.join(other, key):
+                    spanning.append(pair)
+                if every is not None:
+                    every.append(pair)
+            if every is not None and len(every) > 8 * len(items):
+                every = None
+            tree.add(value, key)
+        rows += [*spanning, (bucket, None, None)] if every is None else every
+        if len(rows) > 4096:
+            yield _pair_batch(rows)
+            rows = []
+    yield _pair_batch(rows)
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a dense bucket within the sketch radius that are in different groups."""
+    rows: list[tuple] = []
+    for bucket, items in _meetings(batches):
+        if len({item[-_KEY_BYTES:] for item in items}) == 1:
+            continue
+        tree = BKTree()
+        for item in items:
+            key, value, group = item[:_KEY_BYTES], int.from_bytes(item[_KEY_BYTES:-_KEY_BYTES], "little"), item[-_KEY_BYTES:]
+            rows += [(bucket, min(key, k), max(key, k)) for k, g in tree.near(value, SKETCH_RADIUS) if g != group]
+            tree.add(value, (key, group))
+            if len(rows) > 4096:
+                yield _pair_batch(rows)
+                rows = []
+    yield _pair_batch(rows)
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs ``(u, v)`` of text keys whose shingle sets have the Jaccard similarity."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, last, held = [], None, np.empty(0, np.uint64)
+            for u, a, b in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
+                if u.as_py() != last:
+                    last, held = u.as_py(), np.unique(shingle_hashes(a.as_py(), words))
+                other = np.unique(shingle_hashes(b.as_py(), words))
+                both = len(np.intersect1d(held, other, assume_unique=True))
+                keep.append(both >= similarity * (len(held) + len(other) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    needed = texts.join(ends, "key").select("key", "text")
+    left, right = needed.select(F.col("key").alias("u"), F.col("text").alias("a")), needed.select(F.col("key").alias("v"), F.col("text").alias("b"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u binary, v binary")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(key, keep_key, keep_id)`` of every text that is not the one of its group that stays.
+
+    Texts are linked where their sets of word shingles have at least the Jaccard
+    ``similarity``; groups are what links reach, and the text with the smallest
+    id stays (a null id is larger than any; then the smaller key).  Candidates
+    come from SimHash fingerprints of 1,024 bits: texts meet where a band of 16
+    bits agrees, and BK-trees find the pairs that differ in few bits.  Every
+    candidate is compared by its shingles, so no group holds a false link; about
+    one link of similarity 0.8 in a hundred is not found, fewer above.  Texts
+    without words are one group.
+    """
+    scratch = Scratch(docs.sparkSession, "neardup")
+    rows = long_sketches(docs, id_col, text_col, words)
+    sketches = scratch.table(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "sketches")
+    dealt = sketches.select(F.explode("bands").alias("bucket"), F.concat("key", "sketch").alias("item"))
+    met = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_near_pairs, "bucket int, u binary, v binary")
+    met = scratch.table(met, "met")
+    bodies = docs.select(_text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
+    found = scratch.table(similar_pairs(met.where("u is not null").select("u", "v").distinct(), bodies, words, similarity), "links")
+    roots = connected_components(found, scratch)
+    dense = met.where("u is null").select("bucket").distinct()
+    if not dense.isEmpty():
+        grouped = sketches.join(roots, sketches["key"] == roots["node"], "left").withColumn("group", F.coalesce("root", "key"))
+        again = grouped.select(F.explode("bands").alias("bucket"), F.concat("key", "sketch", "group").alias("item")).join(dense, "bucket")
+        left = again.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_open_pairs, "bucket int, u binary, v binary")
+        left = scratch.table(left.select("u", "v").distinct(), "open")
+        more = scratch.table(similar_pairs(left, bodies, words, similarity), "more")
+        roots = connected_components(found.unionByName(more), Scratch(docs.sparkSession, "neardup"))
+    named = sketches.select("key", "id").join(roots, sketches["key"] == roots["node"], "left").select("key", "id", F.coalesce("root", "key").alias("root"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    kept = named.groupBy("root").agg(first, F.count("*").alias("n")).where("n > 1").select("root", "first")
+    out = named.join(kept, "root").where("key <> first.key")
+    return scratch.table(out.select("key", F.col("first.key").alias("keep_key"), F.col("first.id").alias("keep_id")), "dropped")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose text stays in its group; see ``near_duplicates``.
+
+    Rows that share one text all stay or go: exact copies are another operator's.
+    """
+    dropped = near_duplicates(docs, id_col, text_col, words, similarity).select(F.col("key").alias("_key"))
+    return docs.withColumn("_key", _text_key(F.col(text_col))).join(dropped, "_key", "left_anti").select(docs.columns)

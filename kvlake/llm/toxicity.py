@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kvlake.llm.langid import bounded_sample
 from kvlake.llm.ngrams import hashed, plain
@@ -154,24 +155,37 @@ def score_toxicity(
     class, or 0 where there is none.  Repeated rows each get a score, other
     columns are ignored, and an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    prepare_workers(spark)
-    scratch = Scratch(spark, "toxicity")
-    held = F.coalesce(F.crc32(F.col("id").cast("string")) % modulus == remainder, F.lit(False))
+    held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == remainder, F.lit(False))
+    model = fit_labels(docs, labels, per_class, id_col, text_col, label_col, remainder, modulus)
+    scored = _with_scores(docs.select(id_col, text_col, held.alias("held_out")), model, text_col)
+    return scored.select(id_col, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def fit_labels(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str, remainder: int, modulus: int) -> Model:
+    """The model of the bounded sample that ``score_toxicity`` describes."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    learn = F.crc32(F.col("id").cast("string")) % modulus != remainder
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
-    marked = marked.where(~held).groupBy("id").agg(F.max("y").alias("y"))
+    marked = marked.where(learn).groupBy("id").agg(F.max("y").alias("y"))
     picked = bounded_sample(marked, "y", per_class, scratch)
     sample = rows.join(F.broadcast(picked), "id").select("id", "text", "y").collect()
     sample = sorted(((r[0], r[1] or "", r[2]) for r in sample), key=lambda r: (r[0], r[1]))
-    model = spark.sparkContext.broadcast(train([r[1] for r in sample], [int(r[2] > 0) for r in sample]))
-    names = [id_col, "held_out", "score", "predicted"]
+    return train([r[1] for r in sample], [int(r[2] > 0) for r in sample])
+
+
+def _with_scores(rows: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """``rows`` and their ``score``, from the whole text of each."""
+    spark = rows.sparkSession
+    prepare_workers(spark)
+    shared = spark.sparkContext.broadcast(model)
+    schema = StructType([*(f for f in rows.schema.fields if f.name != "score"), StructField("score", DoubleType())])
+    at = [f.name for f in schema].index(text_col)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.value
+        known = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            scores, part, size = [], [], 0
+            texts, scores, part, size = batch.column(at).to_pylist(), [], [], 0
             for text in texts:
                 part.append(text)
                 size += len(text or "")
@@ -179,9 +193,14 @@ def score_toxicity(
                     scores.append(known.scores(part))
                     part, size = [], 0
             scores = np.concatenate([*scores, known.scores(part)])
-            columns = [batch.column(0), batch.column(2), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
+
+    return rows.select([c for c in rows.columns if c != "score"]).mapInArrow(rate, schema)
 
-    source = rows.select("id", "text", held.alias("held_out"))
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(rate, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+
+def clean_rows(
+    docs: DataFrame, labels: DataFrame, per_class: int = 1200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> DataFrame:
+    """The rows of ``docs`` that score below 0.5, with all their columns and ``score``."""
+    model = fit_labels(docs, labels, per_class, id_col, text_col, label_col, 0, 5)
+    return _with_scores(docs, model, text_col).where("score < 0.5")

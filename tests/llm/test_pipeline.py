@@ -1,0 +1,99 @@
+"""The pipeline's stages against brute force, and its result as a whole."""
+
+import itertools
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from kvlake.llm import simhash
+
+SF = "/root/testdata/sf0.01"
+
+
+def groups(texts, words, similarity):
+    sets = {i: frozenset(simhash.shingle_hashes(t, words).tolist()) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        both = len(sets[a] & sets[b])
+        if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in texts}
+
+
+def edited(text, k):
+    words = text.split()
+    for j in range(k):
+        words[(j * 37 + 11) % len(words)] = f"edit{j}"
+    return " ".join(words)
+
+
+def test_near_copies_go_and_the_smallest_id_stays(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300 and size(split(text, ' ')) > 60").collect()
+    rows = [(r.doc_id, r.text) for r in base]
+    rows += [(1000 + 10 * r.doc_id + k, edited(r.text, k)) for r in base[:40] for k in (1, 2, 5)]
+    rows += [(90_000 + k, edited(base[50].text, k)) for k in range(1, 60)]
+    texts = {}
+    for i, t in rows:
+        if t not in texts.values():
+            texts[i] = t
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    root = groups(texts, 5, 0.8)
+    got = {r.doc_id for r in simhash.without_near_duplicates(frame).select("doc_id").collect()}
+    want = {i for i in texts if root[i] == i}
+    assert not want - got, "a document that no other is near was dropped"
+    assert len(got - want) <= 0.01 * (len(texts) - len(want))
+
+
+def test_dense_groups_are_looked_at_again(spark):
+    base = "one two three four five six seven eight nine ten " * 12
+    texts = {i: edited(base + f"tail{i // 3} " * 3, 1 + i % 9) + f" end{i}" for i in range(90)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    root = groups(texts, 5, 0.8)
+    got = {r.doc_id for r in simhash.without_near_duplicates(frame).collect()}
+    assert got == {i for i in texts if root[i] == i}
+
+
+def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
+    got = simhash.without_near_duplicates(odd_docs).collect()
+    assert sum(r.text is not None and r.text.startswith("word of many") for r in got) == 2  # exact copies are not its own
+    assert sum(not (r.text or "").strip() for r in got) in (1, 2, 3)
+    assert simhash.without_near_duplicates(no_docs).count() == 0
+
+
+def test_pipeline_on_the_small_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    frames, names = docs, [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        frames = corpus_pipeline.Scratch(spark, "t").table(stage(spark, frames, SF), name)
+        assert frames.columns == docs.columns
+        kept[name] = frames.collect()
+    clean = {re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in kept["toxicity"]}
+    assert len(kept["exact_dedup"]) == len(clean)
+    low = defaultdict(list)
+    for r in kept["toxicity"]:
+        low[re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")].append(r.doc_id)
+    assert sorted(r.doc_id for r in kept["exact_dedup"]) == sorted(map(min, low.values()))
+    root = groups({r.doc_id: r.text for r in kept["exact_dedup"]}, 5, 0.8)
+    assert sorted(r.doc_id for r in kept["near_dedup"]) == sorted({root[i] for i in root})
+    drawn = Counter(r.doc_id for r in kept["mixing"])
+    assert set(drawn) == {r.doc_id for r in kept["near_dedup"]} and max(drawn.values()) <= 5
+    packed = corpus_pipeline.run(spark, SF)
+    assert Counter({r.doc_id: r.n for r in packed.where("piece = 0").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}) == drawn
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_take_odd_and_empty_tables(spark, odd_docs, no_docs, stage):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    assert stage(spark, odd_docs.select(*columns), SF).count() > 0
+    assert stage(spark, no_docs.select(*columns), SF).count() == 0
