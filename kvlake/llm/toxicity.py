@@ -23,7 +23,9 @@ from kvlake.llm.ngrams import hashed, plain
 from kvlake.llm.storage import Scratch, prepare_workers
 
 BITS, ORDERS, WIDTH = 16, (3, 4, 5), 24
-#: Bytes that are scored together; longer texts go in whole groups of documents.
+#: Rejecting a clean text weighs as much as passing so many toxic ones.
+_CLEAN_WEIGHT = 3.0
+#: Characters that are scored together.
 _TOGETHER = 1 << 19
 
 
@@ -38,6 +40,19 @@ class Passages:
     stop: np.ndarray
     width: np.ndarray
 
+    @classmethod
+    def groups(cls, texts: Sequence[str | None]) -> Iterator[Passages]:
+        """Whole texts in groups of about ``_TOGETHER`` characters, to bound memory."""
+        part, size = [], 0
+        for text in texts:
+            part.append(text)
+            size += len(text or "")
+            if size >= _TOGETHER:
+                yield cls.of(part)
+                part, size = [], 0
+        if part:
+            yield cls.of(part)
+
     @classmethod
     def of(cls, texts: Sequence[str | None]) -> Passages:
         parts = [plain(t) + bytes(max(ORDERS) - 1) for t in texts]
@@ -46,7 +61,7 @@ class Passages:
         data = np.frombuffer(b"".join(parts), np.uint8)
         text = np.repeat(np.arange(len(end), dtype=np.int32), size)
         width = np.minimum(WIDTH, size)
-        stop = np.arange(len(data)) + width[text]
+        stop = (np.arange(len(data)) + width[text]).astype(np.int32)
         stop[stop > end[text]] = -1  # no window begins here
         return cls(np.stack([hashed(data, n, BITS).astype(np.uint16) for n in ORDERS]), end - size, end, text, stop, width)
 
@@ -73,9 +88,7 @@ class Model:
     bias: float
 
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:
-        if not len(texts):
-            return np.zeros(0)
-        logit = Passages.of(texts).best(self.value)[2] + self.bias
+        logit = np.concatenate([np.zeros(0), *(p.best(self.value)[2] for p in Passages.groups(texts))]) + self.bias
         return 1.0 / (1.0 + np.exp(-np.clip(logit, -60, 60)))
 
 
@@ -84,22 +97,24 @@ def train(texts: Sequence[str], labels: Sequence[int], size: int = 8, epochs: in
 
     Classes weigh alike.  N-grams that fewer than three texts hold stay zero: a
     rare n-gram says more about one text than about its class.  The bias is then
-    set where the training texts part best.
+    set where the training texts part best, a clean one weighing as ``_CLEAN_WEIGHT``.
     """
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), float(20.0 * (y.mean() - 0.5)) if len(y) else -20.0)
     rng = np.random.default_rng(seed)
-    data = Passages.of(texts)
+    data = list(Passages.groups(texts))
     # How many texts hold a bucket, and how much more often those of label 1 do.
-    held, lean = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for row in data.buckets:
-        pairs = np.unique(data.text.astype(np.int64) << BITS | row)
-        bucket, own = pairs & ((1 << BITS) - 1), pairs >> BITS
-        pos = np.bincount(bucket[y[own] > 0], minlength=1 << BITS)
-        neg = np.bincount(bucket[y[own] == 0], minlength=1 << BITS)
-        held += pos + neg
-        lean += np.log((pos / y.sum() + 4 / len(y)) / (neg / (len(y) - y.sum()) + 4 / len(y)))
+    held, marked, at = np.zeros((len(ORDERS), 1 << BITS)), np.zeros((len(ORDERS), 1 << BITS)), 0
+    for part in data:
+        for i, row in enumerate(part.buckets):
+            pairs = np.unique(part.text.astype(np.int64) << BITS | row)
+            bucket = pairs & ((1 << BITS) - 1)
+            held[i] += np.bincount(bucket, minlength=1 << BITS)
+            marked[i] += np.bincount(bucket[y[at + (pairs >> BITS)] > 0], minlength=1 << BITS)
+        at += len(part.end)
+    lean = np.log((marked / y.sum() + 4 / len(y)) / ((held - marked) / (len(y) - y.sum()) + 4 / len(y))).sum(axis=0)
+    held = held.sum(axis=0)
     common = held >= 3
     embed = rng.normal(0, 0.05, (1 << BITS, size)) * common[:, None]
     soft, bias = rng.normal(0, 0.5, (2, size)), np.zeros(2)
@@ -110,14 +125,18 @@ def train(texts: Sequence[str], labels: Sequence[int], size: int = 8, epochs: in
     for turn in range(1, epochs + 1):
         tilt = soft[1] - soft[0]
         value = (embed @ tilt).astype(np.float32)
-        first, width, logit = data.best(value)
-        p = 1.0 / (1.0 + np.exp(-np.clip(logit + bias[1] - bias[0], -60, 60)))
+        tops = [part.best(value) for part in data]
+        p = 1.0 / (1.0 + np.exp(-np.clip(np.concatenate([top[2] for top in tops]) + bias[1] - bias[0], -60, 60)))
         err = (p - y) * weight
-        steps = np.arange(WIDTH)
-        inside = steps[None, :] < width[:, None]
-        spots = np.minimum(first[:, None] + steps[None, :], data.buckets.shape[1] - 1)
-        share = np.where(inside, (err / (width * len(ORDERS)))[:, None], 0.0)
-        pull = sum(np.bincount(row[spots].ravel(), share.ravel(), minlength=1 << BITS) for row in data.buckets) * common
+        pull, at, steps = np.zeros(1 << BITS), 0, np.arange(WIDTH)
+        for part, (first, width, _) in zip(data, tops, strict=True):
+            inside = steps[None, :] < width[:, None]
+            spots = np.minimum(first[:, None] + steps[None, :], part.buckets.shape[1] - 1)
+            share = np.where(inside, (err[at : at + len(first)] / (width * len(ORDERS)))[:, None], 0.0).ravel()
+            for row in part.buckets:
+                pull += np.bincount(row[spots].ravel(), share, minlength=1 << BITS)
+            at += len(first)
+        pull *= common
         mean_pull = pull @ embed
         grads = [pull[:, None] * tilt[None, :] + 1e-7 * embed, np.stack([-mean_pull, mean_pull]) + 1e-4 * soft, np.array([-err.sum(), err.sum()])]
         for param, grad, (m, v) in zip(params, grads, moments, strict=True):
@@ -126,9 +145,9 @@ def train(texts: Sequence[str], labels: Sequence[int], size: int = 8, epochs: in
             param -= 0.03 * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-8)
         embed *= common[:, None]
     value = (embed @ (soft[1] - soft[0])).astype(np.float32)
-    logit = data.best(value)[2]
+    logit = np.concatenate([part.best(value)[2] for part in data])
     order = np.argsort(logit)
-    gain = np.concatenate([[0.0], np.cumsum(np.where(y[order] > 0, -weight[order], weight[order]))])
+    gain = np.concatenate([[0.0], np.cumsum(np.where(y[order] > 0, -weight[order], _CLEAN_WEIGHT * weight[order]))])
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     edge = np.concatenate([[logit[order[0]] - 1], (logit[order][1:] + logit[order][:-1]) / 2, [logit[order[-1]] + 1]])
     return Model(value, -float(edge[best[len(best) // 2]]))
@@ -185,14 +204,7 @@ def _with_scores(rows: DataFrame, model: Model, text_col: str) -> DataFrame:
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            texts, scores, part, size = batch.column(at).to_pylist(), [], [], 0
-            for text in texts:
-                part.append(text)
-                size += len(text or "")
-                if size >= _TOGETHER:
-                    scores.append(known.scores(part))
-                    part, size = [], 0
-            scores = np.concatenate([*scores, known.scores(part)])
+            scores = known.scores(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
 
     return rows.select([c for c in rows.columns if c != "score"]).mapInArrow(rate, schema)
