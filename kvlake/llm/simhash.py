@@ -274,22 +274,24 @@ def _pair_batch(rows: list[tuple]) -> pa.RecordBatch:
 def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All pairs of a bucket within the sketch radius; of a dense one, spanning links.
 
-    A dense bucket (over eight pairs an item) adds a row without a pair, so that
-    what its spanning links leave open is looked at again.
+    Items come in the order of their keys, and a spanning link goes to the
+    smallest key in reach, so the buckets in which a dense group meets give the
+    same few links.  A dense bucket (over two pairs an item) adds a row without a
+    pair, so that what its spanning links leave open is looked at again.
     """
     rows: list[tuple] = []
     for bucket, items in _meetings(batches):
         tree, groups, spanning, every = BKTree(), _Groups(), [], []
         for item in items:
             key, value = item[:_KEY_BYTES], int.from_bytes(item[_KEY_BYTES:], "little")
-            for other in tree.near(value, SKETCH_RADIUS):
-                pair = (bucket, min(key, other), max(key, other))
-                if groups.join(other, key):
-                    spanning.append(pair)
+            near = tree.near(value, SKETCH_RADIUS)
+            if near:
+                near.sort()
+                spanning += [(bucket, other, key) for other in near if groups.join(other, key)]
                 if every is not None:
-                    every.append(pair)
-            if every is not None and len(every) > 8 * len(items):
-                every = None
+                    every += [(bucket, other, key) for other in near]
+                    if len(every) > 2 * len(items):
+                        every = None
             tree.add(value, key)
         rows += [*spanning, (bucket, None, None)] if every is None else every
         if len(rows) > 4096:
@@ -351,7 +353,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = long_sketches(docs, id_col, text_col, words)
     sketches = scratch.table(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "sketches")
     dealt = sketches.select(F.explode("bands").alias("bucket"), F.concat("key", "sketch").alias("item"))
-    met = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_near_pairs, "bucket int, u binary, v binary")
+    met = dealt.repartition("bucket").sortWithinPartitions("bucket", "item").mapInArrow(_near_pairs, "bucket int, u binary, v binary")
     met = scratch.table(met, "met")
     bodies = docs.select(_text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
     found = scratch.table(similar_pairs(met.where("u is not null").select("u", "v").distinct(), bodies, words, similarity), "links")
