@@ -11,6 +11,8 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ _DEPTH, _PASSES = 6, 6
 
 def token_count(text: Column) -> Column:
     """Words between runs of ASCII white space; null has none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
@@ -32,15 +34,15 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
-def _measures(shares: DataFrame, exponents: list[float]) -> dict[float, tuple[float, float, float]]:
-    """For each exponent: sum of p^a, sum of p^a ln p, and the largest p^(a-1)."""
+def _measures(shares: DataFrame, exponents: list[float]) -> dict[float, tuple[float, ...]]:
+    """For each exponent: sum of p^a, sum of p^a ln p, largest and least p^(a-1)."""
     powers = shares.select("p", F.explode(F.array(*map(F.lit, exponents))).alias("a")).withColumn("q", F.pow("p", "a"))
-    rows = powers.groupBy("a").agg(F.sum("q"), F.sum(F.col("q") * F.log("p")), F.max(F.col("q") / F.col("p"))).collect()
-    return {r[0]: (r[1], r[2], r[3]) for r in rows}
+    rows = powers.groupBy("a").agg(F.sum("q"), F.sum(F.col("q") * F.log("p")), F.max(F.col("q") / F.col("p")), F.min(F.col("q") / F.col("p"))).collect()
+    return {r[0]: tuple(r[1:]) for r in rows}
 
 
 def bisect_exponent(
-    shares: DataFrame, target_entropy: float | None, repetition_limit: float | None, budget_ratio: float, highest: float = 8.0
+    shares: DataFrame, target_entropy: float | None, repetition_limit: float | None, budget_ratio: float, keep_all: bool = False, highest: float = 8.0
 ) -> float:
     """Exponent in [0, highest] for a table of positive shares ``p``.
 
@@ -48,18 +50,17 @@ def bisect_exponent(
     largest exponent whose entropy is still at least the target.  With
     ``repetition_limit``: the smallest exponent up to 1 at which no source is
     repeated more often than the limit; 1 where even that repeats too often.
+    With ``keep_all`` the budget is at least that of a whole pass of every source.
     Each job measures all midpoints of the next halvings, then walks down them.
     """
     by_entropy = target_entropy is not None
     low, high = 0.0, highest if by_entropy else 1.0
 
-    def enough(a: float, m: tuple[float, float, float]) -> bool:
-        z, weighted_log, top = m
+    def enough(a: float, m: tuple[float, ...]) -> bool:
+        z, weighted_log, top, bottom = m
         if by_entropy:
-            import math
-
             return math.log(z) - a * weighted_log / z < target_entropy
-        return budget_ratio * top / z <= repetition_limit
+        return max(budget_ratio, z / bottom if keep_all else 0.0) * top / z <= repetition_limit
 
     for _ in range(_PASSES):
         step = (high - low) / (1 << _DEPTH)
@@ -114,7 +115,7 @@ def temperature_mix(
     everything = held.agg(F.sum("n").cast("double")).first()[0] or 1.0
     shares = held.withColumn("p", F.col("n") / F.lit(everything))
     ratio = (budget_tokens or everything) / everything
-    exponent = bisect_exponent(shares, target_entropy, repetition_limit, ratio)
+    exponent = bisect_exponent(shares, target_entropy, repetition_limit, ratio, keep_all)
     norm = shares.agg(F.sum(F.pow("p", F.lit(exponent))), F.min(F.pow("p", F.lit(exponent - 1.0)))).first()
     if keep_all and norm[0]:
         ratio = max(ratio, norm[0] / norm[1])

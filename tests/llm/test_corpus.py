@@ -188,6 +188,13 @@ def test_mixing_meets_a_target_entropy(spark):
     assert -sum(w * math.log(w) for w in weights) == pytest.approx(1.3, abs=1e-6)
 
 
+def test_mixing_that_keeps_all_rows_holds_the_limit(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 2 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("doc_id") % 25)))
+    drawn = Counter((r.source, r.doc_id) for r in mixing.temperature_mix(docs, keep_all=True, repetition_limit=3.0, block_tokens=500).collect())
+    assert len(drawn) == docs.count() and max(drawn.values()) == 3
+    assert {n for (s, _), n in drawn.items() if s == "hot"} == {1}
+
+
 def test_mixing_keeps_all_rows_when_asked(spark, odd_docs, no_docs):
     mixed = mixing.temperature_mix(odd_docs, keep_all=True, block_tokens=10).where("mix_epoch = 0")
     assert Counter(mixed.select("doc_id", "text").collect()) == Counter(odd_docs.select("doc_id", "text").collect())
