@@ -224,6 +224,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 #: a bit differs with chance 0.15, so 1 - (1 - 0.85 ** 16) ** 64 = 0.99 of such
 #: pairs share a band, and 0.999 of these differ in at most 57 of 256 bits.
 LANES, BANDS, SKETCH_BYTES, SKETCH_RADIUS = 16, 64, 32, 57
+#: Before texts are compared, all 1,024 bits are: 0.999 of pairs of similarity 0.8
+#: differ in at most 190; a margin is left.  Bits of few shingles are too coarse
+#: for that, so texts of fewer than ``FULL_SHINGLES`` have no full sketch and pass.
+FULL_RADIUS, FULL_SHINGLES = 200, 64
 _KEY_BYTES = 16
 
 
@@ -232,19 +236,23 @@ def _text_key(text: Column) -> Column:
 
 
 def long_sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``(key, id, sketch, bands)`` of every row; ``key`` names the text."""
+    """``(key, id, sketch, bands, full)`` of every row; ``key`` names the text."""
     prepare_workers(docs.sparkSession)
     source = docs.select(_text_key(F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.arange(BANDS, dtype=np.int32) << 16
         for batch in batches:
-            prints = [fingerprint(shingle_hashes(x.as_py(), words), LANES) for x in batch.column(2)]
+            prints, full = [], []
+            for x in batch.column(2):
+                hashes = shingle_hashes(x.as_py(), words)
+                prints.append(fingerprint(hashes, LANES))
+                full.append(prints[-1].tobytes() if len(hashes) >= FULL_SHINGLES else b"")
             bands = pa.array([first + f.view("<u2") for f in prints], pa.list_(pa.int32()))
             sketch = pa.array([f.tobytes()[:SKETCH_BYTES] for f in prints], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sketch, bands], ["key", "id", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sketch, bands, pa.array(full, pa.binary())], ["key", "id", "sketch", "bands", "full"])
 
-    return source.mapInArrow(scan, f"key binary, id {source.schema['id'].dataType.simpleString()}, sketch binary, bands array<int>")
+    return source.mapInArrow(scan, f"key binary, id {source.schema['id'].dataType.simpleString()}, sketch binary, bands array<int>, full binary")
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
@@ -300,17 +308,35 @@ def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pair_batch(rows)
 
 
+def _apart(a: bytes, b: bytes) -> bool:
+    """Whether two full sketches differ in too many bits; an empty one never does."""
+    return bool(a and b) and (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count() > FULL_RADIUS
+
+
+def close_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` of text keys whose full sketches are not too far apart."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [not _apart(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = sketches.select(F.col("key").alias("u"), F.col("full").alias("a")), sketches.select(F.col("key").alias("v"), F.col("full").alias("b"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u binary, v binary")
+
+
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a dense bucket within the sketch radius that are in different groups."""
+    """Pairs of a dense bucket within both radii that are in different groups."""
+    at, to = _KEY_BYTES + SKETCH_BYTES, 2 * _KEY_BYTES + SKETCH_BYTES
     rows: list[tuple] = []
     for bucket, items in _meetings(batches):
-        if len({item[-_KEY_BYTES:] for item in items}) == 1:
+        if len({item[at:to] for item in items}) == 1:
             continue
         tree = BKTree()
         for item in items:
-            key, value, group = item[:_KEY_BYTES], int.from_bytes(item[_KEY_BYTES:-_KEY_BYTES], "little"), item[-_KEY_BYTES:]
-            rows += [(bucket, min(key, k), max(key, k)) for k, g in tree.near(value, SKETCH_RADIUS) if g != group]
-            tree.add(value, (key, group))
+            key, value, group, full = item[:_KEY_BYTES], int.from_bytes(item[_KEY_BYTES:at], "little"), item[at:to], item[to:]
+            rows += [(bucket, min(key, k), max(key, k)) for k, g, f in tree.near(value, SKETCH_RADIUS) if g != group and not _apart(f, full)]
+            tree.add(value, (key, group, full))
             if len(rows) > 4096:
                 yield _pair_batch(rows)
                 rows = []
@@ -344,24 +370,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``similarity``; groups are what links reach, and the text with the smallest
     id stays (a null id is larger than any; then the smaller key).  Candidates
     come from SimHash fingerprints of 1,024 bits: texts meet where a band of 16
-    bits agrees, and BK-trees find the pairs that differ in few bits.  Every
+    bits agrees, and BK-trees find the pairs that differ in few bits of the first
+    256; those that differ in too many of all 1,024 are left out.  Every
     candidate is compared by its shingles, so no group holds a false link; about
     one link of similarity 0.8 in a hundred is not found, fewer above.  Texts
     without words are one group.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     rows = long_sketches(docs, id_col, text_col, words)
-    sketches = scratch.table(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "sketches")
+    sketches = scratch.table(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.first("full").alias("full")), "sketches")
     dealt = sketches.select(F.explode("bands").alias("bucket"), F.concat("key", "sketch").alias("item"))
     met = dealt.repartition("bucket").sortWithinPartitions("bucket", "item").mapInArrow(_near_pairs, "bucket int, u binary, v binary")
     met = scratch.table(met, "met")
     bodies = docs.select(_text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
-    found = scratch.table(similar_pairs(met.where("u is not null").select("u", "v").distinct(), bodies, words, similarity), "links")
+    close = scratch.table(close_pairs(met.where("u is not null").select("u", "v").distinct(), sketches), "close")
+    found = scratch.table(similar_pairs(close, bodies, words, similarity), "links")
     roots = connected_components(found, scratch)
     dense = met.where("u is null").select("bucket").distinct()
     if not dense.isEmpty():
         grouped = sketches.join(roots, sketches["key"] == roots["node"], "left").withColumn("group", F.coalesce("root", "key"))
-        again = grouped.select(F.explode("bands").alias("bucket"), F.concat("key", "sketch", "group").alias("item")).join(dense, "bucket")
+        again = grouped.select(F.explode("bands").alias("bucket"), F.concat("key", "sketch", "group", "full").alias("item")).join(dense, "bucket")
         left = again.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_open_pairs, "bucket int, u binary, v binary")
         left = scratch.table(left.select("u", "v").distinct(), "open")
         more = scratch.table(similar_pairs(left, bodies, words, similarity), "more")
