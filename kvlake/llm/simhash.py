@@ -266,106 +266,134 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byt
         yield int(last), items
 
 
-def _pair_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [("bucket", pa.int32()), ("u", pa.binary()), ("v", pa.binary())]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
+def _binary_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in range(2)], ["u", "v"])
 
 
-def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a bucket within the sketch radius; of a dense one, spanning links.
+def _near_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that span the groups of each bucket: one less than a group's members.
 
-    Items come in the order of their keys, and a spanning link goes to the
-    smallest key in reach, so the buckets in which a dense group meets give the
-    same few links.  A dense bucket (over two pairs an item) adds a row without a
-    pair, so that what its spanning links leave open is looked at again.
+    Items come in the order of their keys, and a link goes to the smallest key in
+    reach, so the buckets in which a group meets give the same few links.
     """
     rows: list[tuple] = []
-    for bucket, items in _meetings(batches):
-        tree, groups, spanning, every = BKTree(), _Groups(), [], []
+    for _, items in _meetings(batches):
+        tree, groups = BKTree(), _Groups()
         for item in items:
             key, value = item[:_KEY_BYTES], int.from_bytes(item[_KEY_BYTES:], "little")
-            near = tree.near(value, SKETCH_RADIUS)
-            if near:
-                near.sort()
-                spanning += [(bucket, other, key) for other in near if groups.join(other, key)]
-                if every is not None:
-                    every += [(bucket, other, key) for other in near]
-                    if len(every) > 2 * len(items):
-                        every = None
+            rows += [(other, key) for other in sorted(tree.near(value, SKETCH_RADIUS)) if groups.join(other, key)]
             tree.add(value, key)
-        rows += [*spanning, (bucket, None, None)] if every is None else every
         if len(rows) > 4096:
-            yield _pair_batch(rows)
+            yield _binary_batch(rows)
             rows = []
-    yield _pair_batch(rows)
+    yield _binary_batch(rows)
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a dense bucket within the sketch radius that are in different groups."""
-    rows: list[tuple] = []
-    for bucket, items in _meetings(batches):
-        if len({item[-_KEY_BYTES:] for item in items}) == 1:
-            continue
-        tree = BKTree()
-        for item in items:
-            key, value, group = item[:_KEY_BYTES], int.from_bytes(item[_KEY_BYTES:-_KEY_BYTES], "little"), item[-_KEY_BYTES:]
-            rows += [(bucket, min(key, k), max(key, k)) for k, g in tree.near(value, SKETCH_RADIUS) if g != group]
-            tree.add(value, (key, group))
-            if len(rows) > 4096:
-                yield _pair_batch(rows)
-                rows = []
-    yield _pair_batch(rows)
+def _parity(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """How often a hash falls on each of ``bits`` places, modulo 2.
+
+    Two of these differ in no more bits than the sets of hashes have unequal
+    members, so they bound an intersection from above and never rule out a link.
+    """
+    counts = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.uint64)
+
+
+def jaccard_links(sets: list[np.ndarray], first: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that span the groups of sorted sets of hashes, by their Jaccard similarity.
 
+    With ``first``, only pairs of one of the first sets and one of the others
+    count; with 0, all pairs.  A pair is compared if it can still join groups and
+    neither the sizes nor the parities rule it out, the most alike ones first.
+    """
+    n, links = len(sets), []
+    sizes = np.array([len(x) for x in sets], np.float64)
+    bits = 1 << int(min(16, max(10, np.ceil(np.log2(4 * sizes.mean() + 1)))))
+    parities = np.stack([_parity(x, bits) for x in sets])
+    label = np.arange(n)
+    for x in range(max(first, 1), n):
+        upto = first or x
+        fits = np.minimum(sizes[:upto], sizes[x]) >= similarity * np.maximum(sizes[:upto], sizes[x])
+        near = np.flatnonzero(fits & (label[:upto] != label[x]))
+        unequal = np.bitwise_count(parities[near] ^ parities[x]).sum(axis=1, dtype=np.int64)
+        most = (sizes[near] + sizes[x] - unequal) / 2
+        able = most >= similarity * (sizes[near] + sizes[x] - most)
+        for y in near[able][np.argsort(unequal[able], kind="stable")].tolist():
+            if label[y] == label[x]:
+                continue
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if both >= similarity * (len(sets[x]) + len(sets[y]) - both):
+                links.append((y, x))
+                label[label == label[y]] = label[x]
+    return links
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Pairs ``(u, v)`` of text keys whose shingle sets have the Jaccard similarity."""
+
+def similar_links(crowds: DataFrame, words: int, similarity: float, block_bytes: int) -> DataFrame:
+    """Links ``(u, v)`` that span the groups of similar texts in each crowd.
+
+    ``crowds`` has ``(crowd, key, text)``.  A crowd of over ``block_bytes`` is cut
+    in blocks by key and each pair of blocks is compared in a task of its own; a
+    smaller one is one block, so each of its texts is moved once.
+    """
+    prepare_workers(crowds.sparkSession)
+    large = crowds.groupBy("crowd").agg(F.sum(F.octet_length("text")).alias("total")).where(F.col("total") > block_bytes)
+    large = large.select("crowd", F.ceil(F.col("total") / block_bytes).cast("int").alias("n"))
+    cut = crowds.join(large, "crowd", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    cut = cut.withColumn("b", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j")))
+    dealt = cut.select("crowd", "b", "key", "text", F.explode(meets).alias("m"))
+    dealt = dealt.select("crowd", "m.i", "m.j", "b", "key", "text").repartition("crowd", "i", "j").sortWithinPartitions("crowd", "i", "j", "b", "key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, sets, blocks = None, [], [], []
+
+        def ended() -> pa.RecordBatch:
+            first = 0 if now[1] == now[2] else blocks.count(now[1])
+            lone = now[1] != now[2] and first in (0, len(sets))  # one of two blocks is empty
+            found = [] if lone else jaccard_links(sets, first, similarity)
+            return _binary_batch([(keys[a], keys[b]) for a, b in found if keys[a] != keys[b]])
+
         for batch in batches:
-            keep, last, held = [], None, np.empty(0, np.uint64)
-            for u, a, b in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
-                if u.as_py() != last:
-                    last, held = u.as_py(), np.unique(shingle_hashes(a.as_py(), words))
-                other = np.unique(shingle_hashes(b.as_py(), words))
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                keep.append(both >= similarity * (len(held) + len(other) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    needed = texts.join(ends, "key").select("key", "text")
-    left, right = needed.select(F.col("key").alias("u"), F.col("text").alias("a")), needed.select(F.col("key").alias("v"), F.col("text").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u binary, v binary")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+            for row in zip(*batch.columns, strict=True):
+                *meeting, block, key, text = [x.as_py() for x in row]
+                if meeting != now:
+                    if now:
+                        yield ended()
+                    now, keys, sets, blocks = meeting, [], [], []
+                keys.append(key)
+                sets.append(np.unique(shingle_hashes(text, words)))
+                blocks.append(block)
+        if now:
+            yield ended()
+
+    return dealt.mapInArrow(compare, "u binary, v binary")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block_bytes: int = 16 << 20
+) -> DataFrame:
     """``(key, keep_key, keep_id)`` of every text that is not the one of its group that stays.
 
     Texts are linked where their sets of word shingles have at least the Jaccard
     ``similarity``; groups are what links reach, and the text with the smallest
     id stays (a null id is larger than any; then the smaller key).  Candidates
     come from SimHash fingerprints of 1,024 bits: texts meet where a band of 16
-    bits agrees, and BK-trees find the pairs that differ in few bits.  Every
-    candidate is compared by its shingles, so no group holds a false link; about
-    one link of similarity 0.8 in a hundred is not found, fewer above.  Texts
-    without words are one group.
+    bits agrees, and BK-trees link those that differ in few bits to crowds.
+    Inside a crowd texts are compared by their shingles, so no group holds a
+    false link; about one link of similarity 0.8 in a hundred is not found, fewer
+    above.  Texts without words are one group.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     rows = long_sketches(docs, id_col, text_col, words)
     sketches = scratch.table(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "sketches")
     dealt = sketches.select(F.explode("bands").alias("bucket"), F.concat("key", "sketch").alias("item"))
-    met = dealt.repartition("bucket").sortWithinPartitions("bucket", "item").mapInArrow(_near_pairs, "bucket int, u binary, v binary")
-    met = scratch.table(met, "met")
-    bodies = docs.select(_text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
-    found = scratch.table(similar_pairs(met.where("u is not null").select("u", "v").distinct(), bodies, words, similarity), "links")
-    roots = connected_components(found, scratch)
-    dense = met.where("u is null").select("bucket").distinct()
-    if not dense.isEmpty():
-        grouped = sketches.join(roots, sketches["key"] == roots["node"], "left").withColumn("group", F.coalesce("root", "key"))
-        again = grouped.select(F.explode("bands").alias("bucket"), F.concat("key", "sketch", "group").alias("item")).join(dense, "bucket")
-        left = again.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_open_pairs, "bucket int, u binary, v binary")
-        left = scratch.table(left.select("u", "v").distinct(), "open")
-        more = scratch.table(similar_pairs(left, bodies, words, similarity), "more")
-        roots = connected_components(found.unionByName(more), Scratch(docs.sparkSession, "neardup"))
+    met = dealt.repartition("bucket").sortWithinPartitions("bucket", "item").mapInArrow(_near_links, "u binary, v binary")
+    crowds = connected_components(scratch.table(met.distinct(), "met"), scratch).select(F.col("node").alias("key"), F.col("root").alias("crowd"))
+    crowds = crowds.unionByName(crowds.select(F.col("crowd").alias("key"), "crowd").distinct())
+    bodies = docs.select(_text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["key"])
+    members = scratch.table(bodies.join(crowds, "key").select("crowd", "key", "text"), "members")
+    found = scratch.table(similar_links(members, words, similarity, block_bytes), "links")
+    roots = connected_components(found, Scratch(docs.sparkSession, "neardup"))
     named = sketches.select("key", "id").join(roots, sketches["key"] == roots["node"], "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     kept = named.groupBy("root").agg(first, F.count("*").alias("n")).where("n > 1").select("root", "first")

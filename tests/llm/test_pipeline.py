@@ -62,6 +62,22 @@ def test_dense_groups_are_looked_at_again(spark):
     assert got == {i for i in texts if root[i] == i}
 
 
+@pytest.mark.parametrize("block_bytes", [1, 4000, 1 << 30])
+def test_similar_links_lose_no_group_however_a_crowd_is_cut(spark, block_bytes):
+    base = "one two three four five six seven eight nine ten " * 6
+    texts = {i: edited(base + f"tail{i // 3} " * 3, 1 + i % 9) + f" end{i}" for i in range(40)} | {40: "", 41: " ", 42: "one"}
+    keys = {i: i.to_bytes(2, "big") for i in texts}
+    frame = spark.createDataFrame([(b"c", bytearray(keys[i]), t) for i, t in texts.items()], "crowd binary, key binary, text string")
+    root, parent = groups(texts, 5, 0.8), {i: i for i in texts}
+    for r in simhash.similar_links(frame, 5, 0.8, block_bytes).collect():
+        a, b = sorted(int.from_bytes(x, "big") for x in (r.u, r.v))
+        assert root[a] == root[b]
+        low, high = sorted((parent[a], parent[b]))
+        parent = {i: low if p == high else p for i, p in parent.items()}
+    assert parent == root
+    assert simhash.similar_links(frame.limit(0), 5, 0.8, block_bytes).count() == 0
+
+
 def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     got = simhash.without_near_duplicates(odd_docs).collect()
     assert sum(r.text is not None and r.text.startswith("word of many") for r in got) == 2  # exact copies are not its own
