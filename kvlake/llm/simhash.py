@@ -232,14 +232,18 @@ def _text_key(text: Column) -> Column:
 
 
 def long_sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``(key, id, sketch, bands)`` of every row; ``key`` names the text."""
+    """``(key, id, sketch, bands)`` of every row; ``key`` names the text.
+
+    A shingle counts once however often the text repeats it, as in the sets that
+    decide on a link.
+    """
     prepare_workers(docs.sparkSession)
     source = docs.select(_text_key(F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.arange(BANDS, dtype=np.int32) << 16
         for batch in batches:
-            prints = [fingerprint(shingle_hashes(x.as_py(), words), LANES) for x in batch.column(2)]
+            prints = [fingerprint(np.unique(shingle_hashes(x.as_py(), words)), LANES) for x in batch.column(2)]
             bands = pa.array([first + f.view("<u2") for f in prints], pa.list_(pa.int32()))
             sketch = pa.array([f.tobytes()[:SKETCH_BYTES] for f in prints], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sketch, bands], ["key", "id", "sketch", "bands"])

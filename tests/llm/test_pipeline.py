@@ -62,6 +62,23 @@ def test_dense_groups_are_looked_at_again(spark):
     assert got == {i for i in texts if root[i] == i}
 
 
+@pytest.mark.parametrize("times", [10, 30])
+def test_repeated_lines_do_not_part_near_copies(spark, times):
+    texts = {}
+    for d in range(40):
+        body = " ".join(f"d{d}w{i}" for i in range(200))
+        line = [f"d{d}r{i}" for i in range(10)]
+        other = [w if i % 5 else f"e{w}" for i, w in enumerate(line)]  # every shingle edited
+        for k, (copy, n) in enumerate(((line, times), (line, 2), (other, times))):
+            texts[10 * d + k] = body + " " + " ".join(copy * n)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    root = groups(texts, 5, 0.8)
+    assert set(root.values()) == set(range(0, 400, 10))
+    got = {r.doc_id for r in simhash.without_near_duplicates(frame).select("doc_id").collect()}
+    want = {i for i in texts if root[i] == i}
+    assert want <= got and len(got - want) <= 0.01 * (len(texts) - len(want))
+
+
 @pytest.mark.parametrize("block_bytes", [1, 4000, 1 << 30])
 def test_similar_links_lose_no_group_however_a_crowd_is_cut(spark, block_bytes):
     base = "one two three four five six seven eight nine ten " * 6
