@@ -23,11 +23,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest doc_id."""
-    judged = exactdedup.exact_duplicates(docs).where("not kept").select("doc_id", "text_sha256")
-    marked = docs.select(*_COLUMNS, F.sha2(exactdedup.normalised(F.col("text")).cast("binary"), 256).alias("text_sha256"))
-    gone = (marked["text_sha256"] == judged["text_sha256"]) & marked["doc_id"].eqNullSafe(judged["doc_id"])
-    return marked.join(judged, gone, "left_anti").select(*_COLUMNS)
+    """Of equal texts, one row with the smallest doc_id.
+
+    Rows that share that id, or are all without one, are tied: of their columns
+    the smallest stay, and a task sends one row of each tie.
+    """
+    scratch = Scratch(spark, "exact_copies")
+    judged = exactdedup.exact_duplicates(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    judged = scratch.table(judged.where("not kept or n > 1").select("doc_id", "text_sha256", "kept"), "judged")
+    body = exactdedup.normalised(F.col("text"))
+    marked = docs.select(*_COLUMNS, F.sha2(body.cast("binary"), 256).alias("text_sha256"))
+    same = (marked["text_sha256"] == judged["text_sha256"]) & marked["doc_id"].eqNullSafe(judged["doc_id"])
+    alone = marked.join(judged, same, "left_anti").select(*_COLUMNS)
+    if judged.where("kept").isEmpty():
+        return alone
+    tied = marked.join(judged.where("kept"), same, "left_semi").groupBy("doc_id", body.alias("body"))
+    return alone.unionByName(tied.agg(F.min(F.struct(*_COLUMNS)).alias("row")).select("row.*"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

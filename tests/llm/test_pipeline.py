@@ -102,6 +102,17 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     assert simhash.without_near_duplicates(no_docs).count() == 0
 
 
+def test_exact_copies_that_tie_leave_one_row(spark):
+    rows = [(1, "a b", "en", "s", 3)] * 3 + [(2, "a  b", "en", "s", 4)] + [(None, "a b", "en", "s", 3)] * 2
+    rows += [(None, "c", "en", "s", 1), (None, "c", "de", "t", 1), (None, " c", None, "s", 2)] + [(None, None, None, None, None)] * 2 + [(None, "", "en", "s", 0)]
+    rows += [(3, "d", "en", "s", 1), (3, "e", "en", "s", 1)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.drop_exact_copies(spark, frame, SF).collect()
+    assert all(tuple(r) in rows for r in got)
+    left = Counter((r.doc_id, re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")) for r in got)
+    assert left == Counter([(1, "a b"), (None, "c"), (None, " c"), (None, ""), (3, "d"), (3, "e")])
+
+
 def test_pipeline_on_the_small_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     frames, names = docs, [n for n, _ in corpus_pipeline.STAGES]
