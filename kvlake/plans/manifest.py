@@ -60,11 +60,12 @@ def block_index(log: DataFrame, rows_per_block: int, by: str = "file_number") ->
 def find_block(index: DataFrame, probes: DataFrame, by: str = "file_number") -> DataFrame:
     """First block of each run whose last key is at or after the probe, else the last block.
 
-    An index row covers the keys above the last key before it; probes meet the
-    index by run, and the index of a run is small.
+    Probes and index rows of a run are sorted together, largest key first, so a
+    probe's block is the smallest met so far; no probe meets each block.
     """
-    span = Window.partitionBy(by).orderBy("last_key", "block")
-    ends = Window.partitionBy(by)
-    spans = index.withColumn("after", F.lag("last_key").over(span)).withColumn("top", F.max("block").over(ends))
-    met = probes.join(spans, by).where(((F.col("after").isNull()) | (F.col("key") > F.col("after"))) & ((F.col("key") <= F.col("last_key")) | (F.col("block") == F.col("top"))))
-    return met.groupBy(by, "key").agg(F.min("block").alias("block"))
+    rows = index.select(by, F.col("last_key").alias("key"), "block", F.lit(0).alias("probe"))
+    asked = probes.where("key is not null").select(by, "key", F.lit(None).cast("int").alias("block"), F.lit(1).alias("probe"))
+    sofar = Window.partitionBy(by).orderBy(F.col("key").desc(), "probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.unionByName(asked).withColumn("first", F.min("block").over(sofar)).withColumn("top", F.max("block").over(Window.partitionBy(by)))
+    found = met.where("probe = 1 and top is not null").select(by, "key", F.coalesce("first", "top").alias("block"))
+    return found.groupBy(by, "key").agg(F.min("block").alias("block"))

@@ -305,15 +305,27 @@ SELECT f.file_number, p.key, coalesce(
   (SELECT max(block) FROM blocks b WHERE b.file_number = f.file_number)) AS block
 FROM probes p, (SELECT DISTINCT file_number FROM blocks) f""")
 def kv_find_block(spark, sf_dir):
+    return _find_blocks(spark, sf_dir, _read(spark, sf_dir, "customer").where("c_custkey <= 30"))
+
+
+def _find_blocks(spark: SparkSession, sf_dir: str, customers: DataFrame) -> DataFrame:
     index = _blocks(spark, sf_dir)
-    keys = _read(spark, sf_dir, "customer").where("c_custkey <= 30").select(_key("c_custkey").alias("key"))
-    probes = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(0))).alias("_one")).drop("_one")
     runs = index.groupBy("file_number").agg(F.count("*").alias("_n")).drop("_n")
     listed = runs.agg(F.collect_list("file_number").alias("runs"))  # metadata: one number per run
-    probes = probes.join(F.broadcast(listed)).select("key", F.explode("runs").alias("file_number"))
+    probes = customers.select(_key("c_custkey").alias("key")).join(F.broadcast(listed)).select("key", F.explode("runs").alias("file_number"))
     return manifest.find_block(index, probes)
 
 
+@query(_BLOCKS + """, probes AS (SELECT DISTINCT 'user' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key FROM customer),
+ends AS (SELECT file_number, last_key, min(block) AS block FROM blocks GROUP BY ALL),
+tops AS (SELECT file_number, max(block) AS top FROM blocks GROUP BY ALL),
+asked AS (SELECT f.file_number, f.top, p.key FROM probes p, tops f)
+SELECT a.file_number, a.key, coalesce(e.block, a.top) AS block
+FROM asked a ASOF LEFT JOIN ends e ON a.file_number = e.file_number AND a.key <= e.last_key""")
+def kv_find_block_all(spark, sf_dir):
+    return _find_blocks(spark, sf_dir, _read(spark, sf_dir, "customer"))
+
+
 # -------------------------------------------------------------- compaction
 
 _SMALL = Options(base_level_size=20_000)

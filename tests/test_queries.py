@@ -58,3 +58,27 @@ def test_point_get_plans_without_a_shuffle_and_pushes_its_filter(spark):
 def test_resolver_limits_before_the_shuffle(spark):
     plan = QUERIES["kv_live"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
+
+
+def test_find_block_of_all_customers_matches_brute_force(spark):
+    from kvlake.queries import _blocks
+
+    index = {}
+    for r in _blocks(spark, SF).collect():
+        index.setdefault(r.file_number, []).append((r.block, r.last_key))
+    keys = {f"user{r.c_custkey:08d}" for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
+    want = {(f, k): min((b for b, last in held if last >= k), default=max(held)[0]) for f, held in index.items() for k in keys}
+    got = QUERIES["kv_find_block_all"](spark, SF)
+    assert {(r.file_number, r.key): r.block for r in got.collect()} == want and got.count() == len(want)
+    assert len(keys) > 30
+
+
+def test_find_block_of_keys_that_fill_blocks_and_of_runs_without_index(spark):
+    from kvlake.plans import manifest
+
+    index = spark.createDataFrame([(1, 0, "b"), (1, 1, "d"), (1, 2, "d"), (1, 3, "f"), (2, 0, "c")], "file_number bigint, block int, last_key string")
+    probes = spark.createDataFrame([(f, k) for f in (1, 2, 3) for k in "abcdefgg"], "file_number bigint, key string")
+    got = {(r.file_number, r.key): r.block for r in manifest.find_block(index, probes).collect()}
+    assert got == {(1, k): b for k, b in zip("abcdefg", (0, 0, 1, 1, 3, 3, 3), strict=True)} | {(2, k): 0 for k in "abcdefg"}
+    plan = manifest.find_block(index, probes)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
