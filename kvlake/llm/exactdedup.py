@@ -1,10 +1,12 @@
 """Exact duplicates through a log-structured merge index of digests.
 
-Documents go to memtables by a hash of their id.  Each memtable is flushed as a
-run: digests in order, each with the smallest id and the number of rows, with a
-Parquet bloom filter on the digest for point lookups and a bitmap filter of the
-digests.  Compaction merges runs, keeping the smallest id of each digest.  A hit
-in the compacted index counts only once the bytes were compared.
+Digests are dealt to memtables of a bounded number of rows by a hash of their
+id.  Each memtable is flushed as a run: digests in order, each with the smallest
+id and the number of rows.  Tiered compaction merges a fixed number of runs to
+one run of the next tier, keeping the smallest id of each digest, until one run
+is left.  Runs have two filters: Parquet bloom filters on the digest, which
+``point_lookup`` reads, and a bitmap of a fixed size, which ``lookup`` sends to
+all tasks.  A hit in the index counts only once the bytes were compared.
 
 DataFrame functions only.
 """
@@ -18,6 +20,8 @@ from kvlake.llm.storage import Scratch
 
 #: Bits of the bitmap filter: 2,048 bitmaps of 4 KiB, at most 8 MiB in all.
 FILTER_BITS = 1 << 26
+#: Rows of a memtable, on average, and runs that one compaction merges.
+MEMTABLE_ROWS, FAN_IN = 1 << 20, 8
 #: A bloom filter on the digest in each file, sized by what the file holds.
 _FILTERED = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": "262144"}
 
@@ -27,12 +31,17 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def _digest(body: Column) -> Column:
+    return F.unhex(F.sha2(body.cast("binary"), 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, digest)`` of every row; the digest is SHA-256 of the normalised text."""
-    return docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).alias("digest"))
+    """``(id, raw, digest)`` of every row: a hash of the text as it is, and the SHA-256 of the normalised text."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("raw"), _digest(normalised(text)).alias("digest"))
 
 
-def flush_runs(rows: DataFrame, memtables: int, scratch: Scratch, name: str = "level0") -> DataFrame:
+def flush_runs(rows: DataFrame, memtables: int, scratch: Scratch, name: str = "tier0") -> DataFrame:
     """Write one sorted run ``(digest, low, n)`` per memtable, with filters.
 
     Rows of one digest are summed up before they move, so a digest that a third
@@ -40,39 +49,63 @@ def flush_runs(rows: DataFrame, memtables: int, scratch: Scratch, name: str = "l
     """
     filed = rows.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(memtables)).cast("int"))
     runs = filed.groupBy("run", "digest").agg(F.min("id").alias("low"), F.count("*").alias("n"))
-    ordered = runs.repartitionByRange("run", "digest").sortWithinPartitions("run", "digest")
-    return scratch.table(ordered, name, ("run",), **_FILTERED)
+    return scratch.table(runs.sortWithinPartitions("run", "digest"), name, ("run",), **_FILTERED)
+
+
+def merge_runs(runs: DataFrame, fan_in: int, scratch: Scratch, name: str) -> DataFrame:
+    """One compaction: each ``fan_in`` neighbouring runs become a run of the next tier."""
+    merged = runs.groupBy(F.floor(F.col("run") / fan_in).cast("int").alias("run"), "digest").agg(F.min("low").alias("low"), F.sum("n").alias("n"))
+    return scratch.table(merged.sortWithinPartitions("run", "digest"), name, ("run",), **_FILTERED)
+
+
+def compact(runs: DataFrame, scratch: Scratch, fan_in: int = FAN_IN) -> DataFrame:
+    """Tiers of compactions until one run is left: ``(digest, low, n)``."""
+    tier, count = 0, (runs.agg(F.max("run")).first()[0] or 0) + 1
+    while count > 1:
+        tier, count = tier + 1, -(-count // fan_in)
+        runs = merge_runs(runs, fan_in, scratch, f"tier{tier}")
+        if tier > 1:
+            scratch.remove(f"tier{tier - 1}")
+    return runs.select("digest", "low", "n")
 
 
-def compact(runs: DataFrame, scratch: Scratch, name: str = "level1") -> DataFrame:
-    """Merge runs into one level: smallest id and total rows of each digest."""
-    merged = runs.groupBy("digest").agg(F.min("low").alias("low"), F.sum("n").alias("n"))
-    return scratch.table(merged.sortWithinPartitions("digest"), name, **_FILTERED)
+def build_index(rows: DataFrame, scratch: Scratch, memtable_rows: int = MEMTABLE_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+    """Index ``(digest, low, n)`` of ``rows(id, digest)``: flushed memtables, compacted."""
+    memtables = max(1, -(-rows.count() // memtable_rows))
+    return compact(flush_runs(rows, memtables, scratch), scratch, fan_in)
 
 
-def _position(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
+def _position(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
 
 
-def shared_filter(index: DataFrame, scratch: Scratch) -> DataFrame:
-    """Bitmap filter of the digests that several rows have: ``(bucket, bits)``."""
-    at = index.where("n > 1").select(_position(F.col("digest")).alias("at"))
+def key_filter(keys: DataFrame, key: str, scratch: Scratch, name: str = "filter") -> DataFrame:
+    """Bitmap filter ``(bucket, bits)`` of a column of keys; its size has a fixed bound."""
+    at = keys.select(_position(F.col(key)).alias("at"))
     built = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    return scratch.table(built, "filter")
+    return scratch.table(built, name)
 
 
-def may_be_shared(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Rows whose digest is set in the filter; the filter has a fixed size bound."""
-    at = _position(F.col("digest"))
-    place = F.bitmap_bit_position(at)
-    keyed = rows.withColumn("bucket", F.bitmap_bucket_number(at)).withColumn("place", place)
+def may_hold(rows: DataFrame, key: str, bitmaps: DataFrame) -> DataFrame:
+    """Rows whose key is set in the filter, and some whose is not."""
+    at = _position(F.col(key))
+    marked = rows.select(F.struct(*rows.columns).alias("row"), F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("place"))
     byte = "cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int)"
-    found = keyed.join(F.broadcast(bitmaps), "bucket").where(f"shiftright({byte}, cast(place % 8 as int)) & 1 = 1")
-    return found.select(rows.columns)
+    return marked.join(F.broadcast(bitmaps), "bucket").where(f"shiftright({byte}, cast(place % 8 as int)) & 1 = 1").select("row.*")
+
+
+def lookup(index: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows(digest, ...)`` that the index holds, with ``low`` and ``n``; the filter goes first."""
+    return may_hold(rows, "digest", key_filter(index, "digest", scratch, "lookup")).join(index, "digest")
+
+
+def point_lookup(index: DataFrame, digest: bytes) -> DataFrame:
+    """The index row of one digest; files whose bloom filter lacks it are not read."""
+    return index.where(F.col("digest") == F.lit(bytearray(digest)))
 
 
 def exact_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtables: int = 8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = MEMTABLE_ROWS, fan_in: int = FAN_IN
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
@@ -82,23 +115,27 @@ def exact_duplicates(
     them are marked kept.  A null id is never the smallest unless all ids of a
     group are null; then ``keep_id`` is null and all its rows are kept.  Other
     columns are ignored; an empty table gives an empty result.
+
+    Digests are computed once.  To compare bytes, texts are read again, but only
+    those are normalised whose raw hash a shared digest has.
     """
     scratch = Scratch(docs.sparkSession, "exactdedup")
     rows = scratch.table(digests(docs, id_col, text_col), "digests")
-    index = compact(flush_runs(rows, memtables, scratch), scratch)
-    texts = docs.select(normalised(F.col(text_col)).alias("body")).withColumn("digest", F.unhex(F.sha2(F.col("body").cast("binary"), 256)))
+    index = build_index(rows.select("id", "digest"), scratch, memtable_rows, fan_in)
     shared = index.where("n > 1")
-    hits = may_be_shared(texts, shared_filter(index, scratch)).join(shared.select("digest"), "digest")
+    suspects = lookup(shared.select("digest"), rows.select("raw", "digest"), scratch).select("raw")
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id")).withColumn("raw", F.xxhash64("text"))
+    bodies = may_hold(texts, "raw", key_filter(suspects, "raw", scratch, "suspects")).select("id", normalised(F.col("text")).alias("body"))
+    bodies = bodies.select("id", "body", _digest(F.col("body")).alias("digest"))
     # Byte verification: a group whose smallest and largest texts agree is one text.
-    broken = scratch.table(
-        hits.groupBy("digest").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("digest"), "broken"
-    )
+    # A text that is here by a false positive of the filter is a group of its own.
+    broken = bodies.groupBy("digest").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("digest")
+    broken = scratch.table(broken, "broken")
     same = rows.join(index, "digest").select("id", "digest", F.col("low").alias("keep_id"), F.col("n").alias("group_size"))
     if broken.isEmpty():
         out = same
     else:  # two texts under one digest: such groups are formed by their bytes
-        apart = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body"))
-        apart = apart.withColumn("digest", F.unhex(F.sha2(F.col("body").cast("binary"), 256))).join(broken, "digest")
+        apart = bodies.join(broken, "digest")
         groups = apart.groupBy("digest", "body").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
         out = same.join(broken, "digest", "left_anti").unionByName(apart.join(groups, ["digest", "body"]).drop("body"))
     return out.select(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 import zipfile
@@ -20,14 +21,16 @@ _own_roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """Folder of ``spark.checkpoint.dir``; a temporary one where it is unset and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_roots:
-        _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="kvlake-")
-    return _own_roots[app]
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own_roots:
+        _own_roots[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="kvlake-")
+    return _own_roots[context.applicationId]
 
 
 class Scratch:

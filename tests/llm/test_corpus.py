@@ -67,6 +67,24 @@ def test_index_runs_merge_to_the_smallest_id(spark):
     assert sorted((r.low, r.n) for r in merged) == [(i, len(range(i, 100, 7))) for i in range(7)]
 
 
+def test_tiers_lookups_and_filters_of_the_index(spark):
+    scratch = Scratch(spark, "test")
+    rows = spark.range(500).select("id", F.unhex(F.sha2((F.col("id") % 90).cast("string"), 256)).alias("digest"))
+    index = exactdedup.build_index(rows, scratch, memtable_rows=20, fan_in=3)  # 25 runs, three tiers
+    assert sorted((r.low, r.n) for r in index.collect()) == [(i, len(range(i, 500, 90))) for i in range(90)]
+    probes = spark.range(80, 120).select("id", F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
+    assert sorted((r.id, r.low) for r in exactdedup.lookup(index, probes, scratch).collect()) == [(i, i) for i in range(80, 90)]
+    assert exactdedup.may_hold(probes, "digest", exactdedup.key_filter(index, "digest", scratch, "f")).count() < 12
+    digest = hashlib.sha256(b"7").digest()
+    assert [tuple(r) for r in exactdedup.point_lookup(index, digest).select("low", "n").collect()] == [(7, 6)]
+    assert "PushedFilters: [IsNotNull(digest), EqualTo(digest" in exactdedup.point_lookup(index, digest)._jdf.queryExecution().toString()
+
+
+def test_small_memtables_give_the_same_rows(spark, odd_docs):
+    for frame in (spark.read.parquet(f"{SF}/documents.parquet"), odd_docs):
+        assert Counter(exactdedup.exact_duplicates(frame, memtable_rows=3, fan_in=2).collect()) == Counter(exactdedup.exact_duplicates(frame).collect())
+
+
 # -------------------------------------------------------------------- simhash
 
 
