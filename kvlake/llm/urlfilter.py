@@ -4,6 +4,10 @@ Level 1 holds the listed keys.  Keys of the corpus that it wrongly contains are
 held by level 2, listed keys that level 2 wrongly contains by level 3, and so on
 until a level is wrong about nothing.  For every key of the corpus, the first
 level that does not contain it then tells membership exactly, without a join.
+
+Filters hold 64-bit hashes.  A corpus key that shares its hash with a listed one,
+or an allowed rule with a blocked one, would be told wrongly by every level, so
+such pairs are looked for and the hash takes another seed.
 """
 
 from __future__ import annotations
@@ -87,8 +91,16 @@ class Cascade:
         return sum(b.bits.nbytes for b in self.levels)
 
 
-def key_hash(keys: Sequence[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(k, 0) for k in keys], np.uint64)
+def key_hash(keys: Sequence[str], seed: int = 0) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(k, seed) for k in keys], np.uint64)
+
+
+#: Seeds that are tried before rules are given up; each try makes collisions unlikely anew.
+_SEEDS = range(16)
+
+
+class HashCollision(ValueError):
+    """Keys that must be told apart share their hash under every seed."""
 
 
 def _candidates(host: str, path: str, labels: int, slashes: int) -> list[str]:
@@ -105,44 +117,74 @@ def _candidates(host: str, path: str, labels: int, slashes: int) -> list[str]:
     return [h + p for h in hosts for p in cuts]
 
 
-def build_cascade(urls: DataFrame, keys: Sequence[str], labels: int, slashes: int, scratch: Scratch, name: str) -> Cascade:
+def _levels(cascade: Cascade, inside: np.ndarray, outside: np.ndarray, first: int) -> Cascade:
+    """Levels that alternate between two sides of hashes until one is wrong about nothing."""
+    if len(np.intersect1d(inside, outside)):
+        raise HashCollision("a key inside and one outside share a hash")
+    sides = [inside, outside]
+    while len(sides[0]):
+        bloom = Bloom(sides[0], 0.5, first + len(cascade.levels))
+        cascade.levels.append(bloom)
+        sides = [sides[1][bloom.contains(sides[1])], sides[0]]
+    return cascade
+
+
+def build_cascade(urls: DataFrame, keys: Sequence[str], labels: int, slashes: int, scratch: Scratch, name: str, seed: int = 0) -> Cascade:
     """Cascade over the candidate keys of ``urls(host, path)``, its whole universe.
 
     Sizes follow the first level's rate r / (sqrt(2) s) for r listed and s other
     keys and 1/2 below, so all levels take about 1.44 log2(s/r) + 4 bits a listed
     key: false positives, and so what reaches the driver, are fewer than the
-    listed keys on average, however large the corpus is.
+    listed keys on average, however large the corpus is.  What goes to the tasks
+    is the first level and eight bytes of each listed key.  Raises
+    ``HashCollision`` where a corpus key shares its hash with a listed one.
     """
-    listed_hashes = key_hash(keys)
+    listed_hashes = np.unique(key_hash(keys, seed))
     cascade = Cascade()
     if not len(keys):
         cascade.levels.append(Bloom(listed_hashes, 0.5, 0))
         return cascade
     spark = urls.sparkSession
-    listed = set(keys)
     universe = urls.count() * labels * max(1, slashes)
     first_rate = min(0.5, len(keys) / (math.sqrt(2) * max(1, universe)))
     cascade.levels.append(Bloom(listed_hashes, first_rate, 0))
-    shared = spark.sparkContext.broadcast((cascade.levels[0], listed))
+    shared = spark.sparkContext.broadcast((cascade.levels[0], listed_hashes))
 
     def wrong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, listed_keys = shared.value
+        bloom, listed = shared.value
         for batch in batches:
-            found = {k for h, p in zip(*batch.columns, strict=True) for k in _candidates(h.as_py(), p.as_py(), labels, slashes)}
-            found = sorted(found - listed_keys)
-            held = bloom.contains(key_hash(found)) if found else []
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, x in zip(found, held, strict=True) if x], pa.string())], ["key"])
-
-    false = scratch.table(urls.mapInArrow(wrong, "key string").distinct(), name)
-    others = key_hash([r[0] for r in false.collect()])
-    sides = [others, listed_hashes]
-    while len(sides[0]):
-        bloom = Bloom(sides[0], 0.5, len(cascade.levels))
-        cascade.levels.append(bloom)
-        sides = [sides[1][bloom.contains(sides[1])], sides[0]]
+            found = sorted({k for h, p in zip(*batch.columns, strict=True) for k in _candidates(h.as_py(), p.as_py(), labels, slashes)})
+            hashes = key_hash(found, seed)
+            held = bloom.contains(hashes) if found else np.zeros(0, bool)
+            place = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
+            columns = [pa.array([k for k, x in zip(found, held, strict=True) if x], pa.string()), pa.array((listed[place] == hashes)[held])]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "met"])
+
+    # Keys with a listed hash are the listed ones, unless hashes collide: they are compared as text.
+    seen = scratch.table(urls.mapInArrow(wrong, "key string, met boolean").distinct(), f"{name}{seed}")
+    rules = scratch.table(spark.createDataFrame([(k,) for k in keys], "key string"), f"{name}{seed}rules")
+    if not seen.where("met").join(rules, "key", "left_anti").isEmpty():
+        raise HashCollision("a key of the corpus has the hash of a listed one")
+    others = key_hash([r[0] for r in seen.where("not met").select("key").collect()], seed)
+    return _levels(cascade, others, listed_hashes, 0)
+
+
+def _small_cascade(inside: Sequence[str], outside: Sequence[str], seed: int) -> Cascade:
+    """Cascade of two key sets that are at hand, such as allowed and blocked rules."""
+    cascade = _levels(Cascade(), key_hash(inside, seed), key_hash(outside, seed), 64)
+    if not cascade.levels:
+        cascade.levels.append(Bloom(np.empty(0, np.uint64), 0.5, 64))
     return cascade
 
 
+def _chunks(rules: Sequence[Rule], max_filter_bytes: int) -> list[list[Rule]]:
+    """Rules in parts of which hashes and filters stay within the bound: a key takes
+    eight bytes, 64 bits at most in the first level, four in the others, two in the
+    cascade of verdicts."""
+    rows = max(1, max_filter_bytes // 18)
+    return [list(rules[i : i + rows]) for i in range(0, len(rules), rows)] or [[]]
+
+
 def judge_urls(
     pages: DataFrame, rules: Sequence[Rule], default: str = "allow", max_filter_bytes: int = 64 << 20, id_col: str = "page_id", url_col: str = "url"
 ) -> DataFrame:
@@ -152,11 +194,13 @@ def judge_urls(
     lower-cased; path: from there up to ``?``, ``#`` or the end.  A null url, or
     one without ``://``, has both empty.  Rule paths end in ``/``.  Of the rules
     that fit, the longest wins (of equally long ones, that with the longer host);
-    where none fits, ``rule`` is null and the verdict is ``default``.
+    where none fits, ``rule`` is null and the verdict is ``default``.  Of two rules
+    for one host and path, the first counts.
 
     Two cascades go to the executors: listed keys over the corpus's candidates,
-    and blocked keys over the listed ones.  Their size grows with the rules only;
-    beyond ``max_filter_bytes`` rules are looked up by a join instead.  Repeated
+    and allowed keys over the listed ones.  Their size grows with the rules only;
+    rules whose filters would pass ``max_filter_bytes`` are taken in parts, each
+    with cascades of its own, and the longest rule of all parts wins.  Repeated
     rows each get a verdict, other columns are ignored, and an empty table gives
     an empty result.
     """
@@ -168,65 +212,56 @@ def judge_urls(
             raise ValueError(f"a rule's path must end in '/': {rule.key}")
     host, path = split_url(F.col("url"))
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host.alias("host"), path.alias("path"))
-    keys = sorted({r.key for r in rules})
+    urls = urls.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
+    distinct = sorted({r.key: r for r in reversed(rules)}.values(), key=lambda r: r.key)
+    parts = _chunks(distinct, max_filter_bytes)
+    for i, part in enumerate(parts):
+        urls = _judge(urls, part, scratch, f"part{i}")
+        if i + 1 < len(parts):  # one part's filters at a time
+            urls = scratch.table(urls, f"judged{i}")
+    return urls.withColumnRenamed("id", id_col)
+
+
+def _judge(urls: DataFrame, rules: list[Rule], scratch: Scratch, name: str) -> DataFrame:
+    """``urls(id, host, path, rule, verdict)`` with the longest fitting rule of these, where it beats the one there."""
+    spark = urls.sparkSession
     labels = max([r.host.count(".") + 1 for r in rules], default=1)
     slashes = max([r.path.count("/") for r in rules], default=1)
-    if len(keys) * 8 > max_filter_bytes:
-        return _judge_by_join(spark, urls, rules, labels, slashes, default, id_col, scratch)
-    listed = build_cascade(urls.select("host", "path"), keys, labels, slashes, scratch, "listed")
-    allowed = [r.key for r in rules if r.verdict == "allow"]
-    verdicts = _small_cascade(allowed, [k for k in keys if k not in set(allowed)])
+    allowed, blocked = [r.key for r in rules if r.verdict == "allow"], [r.key for r in rules if r.verdict != "allow"]
+    for seed in _SEEDS:
+        try:
+            listed = build_cascade(urls.select("host", "path"), [r.key for r in rules], labels, slashes, scratch, name, seed)
+            verdicts = _small_cascade(allowed, blocked, seed)
+            break
+        except HashCollision:
+            if seed == _SEEDS[-1]:
+                raise
     shared = spark.sparkContext.broadcast((listed, verdicts))
-    kind = urls.schema["id"].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         member, allow = shared.value
         for batch in batches:
-            hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            hosts, paths, rule, verdict = (batch.column(i).to_pylist() for i in range(1, 5))
             tried = [_candidates(h, p, labels, slashes) for h, p in zip(hosts, paths, strict=True)]
             flat = [k for t in tried for k in t]
-            hashes = key_hash(flat)
+            hashes = key_hash(flat, seed)
             hit, good = (member.contains(hashes), allow.contains(hashes)) if flat else ([], [])
-            rule: list[str | None] = []
-            verdict: list[str] = []
             at = 0
-            for t in tried:
-                best = max((i for i in range(at, at + len(t)) if hit[i]), key=lambda i: (len(flat[i]), flat[i].find("/")), default=None)
-                rule.append(None if best is None else flat[best])
-                verdict.append(default if best is None else "allow" if good[best] else "block")
+            for row, t in enumerate(tried):
+                best = max((i for i in range(at, at + len(t)) if hit[i]), key=lambda i: _weight(flat[i]), default=None)
+                if best is not None and (rule[row] is None or _weight(flat[best]) > _weight(rule[row])):
+                    rule[row], verdict[row] = flat[best], "allow" if good[best] else "block"
                 at += len(t)
-            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(rule, pa.string()), pa.array(verdict, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "host", "path", "rule", "verdict"])
-
-    return urls.mapInArrow(judge, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+            columns = [*batch.columns[:3], pa.array(rule, pa.string()), pa.array(verdict, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "host", "path", "rule", "verdict"])
 
-
-def _small_cascade(inside: Sequence[str], outside: Sequence[str]) -> Cascade:
-    """Cascade of two key sets that are at hand, such as allowed and blocked rules."""
-    cascade, sides = Cascade(), [key_hash(inside), key_hash(outside)]
-    while len(sides[0]) or not cascade.levels:
-        bloom = Bloom(sides[0], 0.5, 64 + len(cascade.levels))
-        cascade.levels.append(bloom)
-        sides = [sides[1][bloom.contains(sides[1])], sides[0]]
-    return cascade
+    kind = urls.schema["id"].dataType.simpleString()
+    return urls.mapInArrow(judge, f"id {kind}, host string, path string, rule string, verdict string")
 
 
-def _judge_by_join(spark, urls, rules, labels, slashes, default, id_col, scratch) -> DataFrame:
-    """The way for rule lists whose filters would pass the broadcast bound."""
-    table = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "rule_host string, rule_path string, verdict string")
-    parts = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels))), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
-    steps = F.split("path", "/")
-    paths = F.when(
-        F.size(steps) > 1,
-        F.transform(F.sequence(F.lit(1), F.least(F.size(steps) - 1, F.lit(slashes))), lambda n: F.concat(F.array_join(F.slice(steps, 1, n), "/"), F.lit("/"))),
-    ).otherwise(F.array().cast("array<string>"))
-    distinct = scratch.table(urls.select("host", "path").distinct(), "urls")
-    tried = distinct.select("host", "path", F.explode(hosts).alias("rule_host"), paths.alias("paths")).select("host", "path", "rule_host", F.explode("paths").alias("rule_path"))
-    fits = tried.join(table, ["rule_host", "rule_path"]).withColumn("rule", F.concat("rule_host", "rule_path"))
-    best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.length("rule_host"))).alias("best"))
-    found = urls.join(best, ["host", "path"], "left")
-    return found.select(F.col("id").alias(id_col), "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+def _weight(key: str) -> tuple[int, int]:
+    """Longer rules win; of equally long ones, that with the longer host."""
+    return len(key), key.find("/")
 
 
 #: Rules of the registered query.
