@@ -99,17 +99,26 @@ def encode_pgm(samples: np.ndarray) -> bytes:
 
 
 def grey(image: np.ndarray) -> np.ndarray:
-    return image.astype(np.float64) if image.ndim == 2 else image.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
+    """Luma of RGB samples; a grey image stays as it is."""
+    return image if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+def integral(image: np.ndarray) -> np.ndarray:
+    """Sums over all samples above and left of each corner; the only copy that is made."""
+    total = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
+    inside = total[1:, 1:]
+    np.cumsum(image, axis=0, dtype=np.float64, out=inside)
+    np.cumsum(inside, axis=1, out=inside)
+    return total
+
+
+def area_resize(image: np.ndarray, height: int, width: int, total: np.ndarray | None = None) -> np.ndarray:
     """Mean over the exact area of each target cell, from an integral image.
 
     The integral is linear between whole rows and columns, so cells that cut
     through samples weigh them by the share they cover.
     """
-    total = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
-    total[1:, 1:] = image.cumsum(0).cumsum(1)
+    total = integral(image) if total is None else total
 
     def at(table: np.ndarray, points: np.ndarray) -> np.ndarray:
         low = np.minimum(points.astype(int), len(table) - 2)
@@ -122,19 +131,23 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return cells * (height * width / (image.shape[0] * image.shape[1]))
 
 
-def difference_hash(image: np.ndarray) -> str:
+def difference_hash(image: np.ndarray, total: np.ndarray | None = None) -> str:
     """64 bits: whether each of 8 x 9 cells is darker than the next in its row."""
-    small = np.round(area_resize(grey(image), 8, 9), 6)
+    small = np.round(area_resize(grey(image), 8, 9, total), 6)
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
-def npy_tile(image: np.ndarray, side: int = 32) -> bytes:
+def npy_tile(image: np.ndarray, side: int = 32, total: np.ndarray | None = None) -> bytes:
     """The image resized to ``side`` x ``side`` grey bytes, in NPY format."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(grey(image), side, side)), 0, 255).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.clip(np.rint(area_resize(grey(image), side, side, total)), 0, 255).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
+def read_tile(data: bytes) -> np.ndarray:
+    return np.load(io.BytesIO(data), allow_pickle=False)
+
+
 #: Payloads are padded to whole blocks of 24 x 24 samples.
 BLOCK, WIDTH = 576, 24
 
@@ -164,8 +177,9 @@ def media_features(media: DataFrame, tile: int = 32) -> DataFrame:
     """Decode ``(id, n_bytes, media)`` and add what its samples and bytes give.
 
     ``tile`` is an NPY file of the resized image, ``feature`` its 64-bit
-    difference hash as 16 hex digits.  A media value that cannot be decoded
-    raises ``MediaError``.
+    difference hash as 16 hex digits.  A null media value, or one that cannot be
+    decoded, raises ``MediaError``.  Repeated rows each get features, ids may be
+    null, other columns are ignored, and an empty table gives an empty result.
     """
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
 
@@ -173,12 +187,12 @@ def media_features(media: DataFrame, tile: int = 32) -> DataFrame:
         for batch in batches:
             rows = []
             for stored in batch.column(2):
-                data = stored.as_py()
+                data = stored.as_py() or b""
                 image = decode(data)
-                payload = image.tobytes()
+                payload, total = image.tobytes(), integral(grey(image))
                 rows.append(
                     (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data),
-                     hashlib.sha256(data).hexdigest(), difference_hash(image), npy_tile(image, tile))
+                     hashlib.sha256(data).hexdigest(), difference_hash(image, total), npy_tile(image, tile, total))
                 )
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
@@ -190,7 +204,7 @@ def media_features(media: DataFrame, tile: int = 32) -> DataFrame:
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every whole text as an image, read the stored bytes, give features.
+    """Store every whole text as an image, read the stored bytes, store features and tiles, and return these.
 
     One row per input row; null and empty texts are one block of padding; equal
     texts have equal values.  Ids may be null or repeat, other columns are
@@ -199,4 +213,18 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prepare_workers(docs.sparkSession, rows=500)
     scratch = Scratch(docs.sparkSession, "media")
     stored = scratch.table(store_texts(docs, id_col, text_col), "media", compression="zstd")
-    return media_features(stored).withColumnRenamed("id", id_col)
+    tiled = scratch.table(media_features(stored), "tiles", compression="zstd")
+    scratch.remove("media")
+    return tiled.withColumnRenamed("id", id_col)
+
+
+def tile_means(tiles: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(id, tile_mean)``: the mean sample of each stored NPY tile, read by numpy."""
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            means = [float(read_tile(x.as_py()).mean()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(means, pa.float64())], [id_col, "tile_mean"])
+
+    kind = tiles.schema[id_col].dataType.simpleString()
+    return tiles.select(id_col, "tile").mapInArrow(mean, f"`{id_col}` {kind}, tile_mean double")

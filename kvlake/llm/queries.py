@@ -44,7 +44,8 @@ def op6_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_media(_table(spark, sf_dir, "documents")).drop("tile")
+    stored = media.text_media(_table(spark, sf_dir, "documents"))
+    return stored.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
 
 
 def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
