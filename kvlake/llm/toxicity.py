@@ -55,14 +55,15 @@ class Passages:
 
     @classmethod
     def of(cls, texts: Sequence[str | None]) -> Passages:
-        parts = [plain(t) + bytes(max(ORDERS) - 1) for t in texts]
+        pad = max(ORDERS) - 1  # zeros, so that no n-gram reaches into the next text; windows end before them
+        parts = [plain(t) + bytes(pad) for t in texts]
         size = np.fromiter(map(len, parts), np.int64, len(parts))
         end = np.cumsum(size)
         data = np.frombuffer(b"".join(parts), np.uint8)
         text = np.repeat(np.arange(len(end), dtype=np.int32), size)
-        width = np.minimum(WIDTH, size)
+        width = np.minimum(WIDTH, size - pad)
         stop = (np.arange(len(data)) + width[text]).astype(np.int32)
-        stop[stop > end[text]] = -1  # no window begins here
+        stop[stop > (end - pad)[text]] = -1  # no window begins here
         return cls(np.stack([hashed(data, n, BITS).astype(np.uint16) for n in ORDERS]), end - size, end, text, stop, width)
 
     def best(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
