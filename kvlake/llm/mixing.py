@@ -16,10 +16,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvlake.llm.storage import Scratch
+from kvlake.llm.storage import Scratch, unused
 
 #: A source is cut in at most so many blocks; their sizes then grow with it.
-MAX_BLOCKS = 4096
+MAX_BLOCKS = 1 << 16
+#: Rows from which a source has a further block, however few tokens they hold.
+BLOCK_ROWS = 4096
 #: Halvings that one pass over the table of sources decides, and passes.
 _DEPTH, _PASSES = 6, 6
 
@@ -86,19 +88,24 @@ def temperature_mix(
     repetition_limit: float | None = 4.0,
     budget_tokens: int | None = None,
     keep_all: bool = False,
-    block_tokens: int = 1 << 16,
+    block_tokens: int = 1 << 14,
     seed: int = 17,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    positions: bool = True,
 ) -> DataFrame:
     """The mixture: every input row once for each pass that draws it.
 
-    Adds ``mix_epoch`` (0, 1, ...), ``mix_tokens``, ``mix_weight`` and
-    ``mix_exponent`` to the columns of ``docs`` (columns of these names are
-    replaced).  The budget is ``budget_tokens``, else as many tokens as there
-    are.  ``keep_all`` raises the budget to the least at which every source makes
-    a whole pass, so that mixing only repeats rows and drops none.
+    Adds ``mix_epoch`` (0, 1, ...), ``mix_tokens``, ``mix_weight``,
+    ``mix_exponent`` and, with ``positions``, ``mix_position`` to the columns of
+    ``docs`` (columns of these names are replaced).  The budget is
+    ``budget_tokens``, else as many tokens as there are.  ``keep_all`` raises the
+    budget to the least at which every source makes a whole pass, so that mixing
+    only repeats rows and drops none.
+
+    ``mix_position`` counts a source's drawn rows from 0 in the order of its
+    permutation: pass by pass, block by block, and permuted in each block.
 
     A null source is a source of its own.  A source without tokens has no share;
     its rows come out once.  Rows that share an id (or have none) are drawn
@@ -110,7 +117,7 @@ def temperature_mix(
     order = F.xxhash64(F.lit(seed), F.col(id_col))
     rows = docs.select(_key(F.col(source_col)).alias("s"), order.alias("h"), token_count(F.col(text_col)).alias("t"))
     rows = scratch.table(rows, "tokens")
-    totals = scratch.table(rows.groupBy("s").agg(F.sum("t").alias("n")), "sources")
+    totals = scratch.table(rows.groupBy("s").agg(F.sum("t").alias("n"), F.count("*").alias("c")), "sources")
     held = totals.where("n > 0")
     everything = held.agg(F.sum("n").cast("double")).first()[0] or 1.0
     shares = held.withColumn("p", F.col("n") / F.lit(everything))
@@ -123,31 +130,39 @@ def temperature_mix(
     spend = F.floor(weight * F.lit(everything * ratio) + F.lit(1e-6)).cast("long")
     plan = shares.withColumn("w", weight).withColumn("budget", spend)
     plan = plan.withColumn("passes", F.floor(F.col("budget") / F.col("n")).cast("int")).withColumn("rest", F.col("budget") % F.col("n"))
-    plan = plan.withColumn("blocks", F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("n") / F.lit(block_tokens)))).select("s", "w", "passes", "rest", "blocks")
-    plan = scratch.table(plan, "plan")
+    blocks = F.least(F.lit(MAX_BLOCKS), F.ceil(F.greatest(F.col("n") / F.lit(block_tokens), F.col("c") / F.lit(BLOCK_ROWS)))).alias("blocks")
+    plan = scratch.table(totals.select("s", "c", blocks).join(plan.select("s", "w", "passes", "rest"), "s", "left"), "plan")
     # The partial pass ends in one block of each source: find it from block totals,
     # then the last document drawn in it.  Both are hashes, so that drawing is a filter.
     block = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("h")), F.col("blocks"))
-    placed = rows.join(plan.where("rest > 0"), "s").withColumn("b", F.xxhash64(F.lit(seed + 2), F.col("s"), block))
-    sums = placed.groupBy("s", "b").agg(F.sum("t").alias("t"), F.first("rest").alias("rest"))
+    placed = rows.join(plan.select("s", "blocks"), "s").withColumn("b", F.xxhash64(F.lit(seed + 2), F.col("s"), block))
+    sums = placed.groupBy("s", "b").agg(F.sum("t").alias("t"), F.count("*").alias("c"))
     run = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sums.withColumn("upto", F.sum("t").over(run)).where("upto >= rest and upto - t < rest and t > 0")
-    last = scratch.table(sums.select("s", F.col("b").alias("end_b"), (F.col("rest") - F.col("upto") + F.col("t")).alias("left")), "ends")
+    sums = scratch.table(sums.withColumn("upto", F.sum("t").over(run)).withColumn("before", F.sum("c").over(run) - F.col("c")), "blocks")
+    last = sums.join(plan.where("rest > 0").select("s", "rest"), "s").where("upto >= rest and upto - t < rest and t > 0")
+    last = scratch.table(last.select("s", F.col("b").alias("end_b"), (F.col("rest") - F.col("upto") + F.col("t")).alias("left")), "ends")
     inside = placed.join(last, "s").where("b = end_b").groupBy("s", "h").agg(F.sum("t").alias("t"), F.first("left").alias("left"))
-    run = Window.partitionBy("s").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("upto", F.sum("t").over(run)).where("upto >= left and upto - t < left")
-    ends = last.join(inside.select("s", F.col("h").alias("end_h")), "s").select("s", "end_b", "end_h")
-    plan = scratch.table(totals.select("s").join(plan, "s", "left").join(ends, "s", "left"), "draw")
-
-    block = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_h")), F.col("_blocks"))
-    place = F.xxhash64(F.lit(seed + 2), F.col("_s"), block)
-    partial = (place < F.col("_end_b")) | ((place == F.col("_end_b")) & (F.col("_h") <= F.col("_end_h")))
-    passes = F.when(F.col("_passes").isNull(), 1).otherwise(F.col("_passes") + F.coalesce(partial, F.lit(False)).cast("int"))
-    made = ["mix_epoch", "mix_tokens", "mix_weight", "mix_exponent"]
+    inside = inside.withColumn("upto", F.sum("t").over(Window.partitionBy("s").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ends = last.join(inside.where("upto >= left and upto - t < left").select("s", F.col("h").alias("end_h")), "s").select("s", "end_b", "end_h")
+    plan = scratch.table(plan.join(ends, "s", "left").withColumn("held", F.col("rest").isNotNull()).drop("rest"), "draw")
+
+    made = ["mix_epoch", "mix_tokens", "mix_weight", "mix_exponent", "mix_position"]
     kept = [c for c in docs.columns if c not in made]
-    drawn = docs.select(*kept, _key(F.col(source_col)).alias("_s"), order.alias("_h"), token_count(F.col(text_col)).alias("mix_tokens"))
-    drawn = drawn.join(plan.select([F.col(c).alias("_" + c) for c in plan.columns]), "_s").withColumn("_passes", passes).where("_passes > 0")
-    return drawn.select(
-        *kept, F.explode(F.sequence(F.lit(0), F.col("_passes") - 1)).alias("mix_epoch"), "mix_tokens",
-        F.coalesce("_w", F.lit(0.0)).alias("mix_weight"), F.lit(exponent).alias("mix_exponent"),
-    )
+    # Working columns take names that the input does not have.
+    own = dict(zip([*plan.columns, "h", "b", "before", "rank"], unused(docs, *["_" + c for c in plan.columns], "_h", "_b", "_before", "_rank"), strict=True))
+    col = {k: F.col(v) for k, v in own.items()}
+    drawn = docs.select(*kept, _key(F.col(source_col)).alias(own["s"]), order.alias(own["h"]), token_count(F.col(text_col)).alias("mix_tokens"))
+    drawn = drawn.join(plan.select([F.col(c).alias(own[c]) for c in plan.columns]), own["s"])
+    block = F.pmod(F.xxhash64(F.lit(seed + 1), col["h"]), col["blocks"])
+    drawn = drawn.withColumn(own["b"], F.xxhash64(F.lit(seed + 2), col["s"], block))
+    position = []
+    if positions:
+        inside = Window.partitionBy(own["s"], own["b"]).orderBy(own["h"], "mix_tokens")
+        starts = sums.select(F.col("s").alias(own["s"]), F.col("b").alias(own["b"]), F.col("before").alias(own["before"]))
+        drawn = drawn.withColumn(own["rank"], F.row_number().over(inside)).join(starts, [own["s"], own["b"]])
+        position = [(F.col("mix_epoch") * col["c"] + col["before"] + col["rank"] - 1).cast("long").alias("mix_position")]
+    partial = (col["b"] < col["end_b"]) | ((col["b"] == col["end_b"]) & (col["h"] <= col["end_h"]))
+    passes = F.when(~col["held"], 1).otherwise(col["passes"] + F.coalesce(partial, F.lit(False)).cast("int"))
+    drawn = drawn.withColumn(own["passes"], passes).where(col["passes"] > 0)
+    drawn = drawn.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), col["passes"] - 1)))
+    return drawn.select(*kept, "mix_epoch", "mix_tokens", F.coalesce(col["w"], F.lit(0.0)).alias("mix_weight"), F.lit(exponent).alias("mix_exponent"), *position)

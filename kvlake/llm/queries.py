@@ -21,7 +21,7 @@ def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.temperature_mix(_table(spark, sf_dir, "documents"), repetition_limit=4.0)
-    return mixed.select("doc_id", "source", "mix_epoch", "mix_tokens", "mix_weight", "mix_exponent")
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_tokens", "mix_weight", "mix_exponent", "mix_position")
 
 
 def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:

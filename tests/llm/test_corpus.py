@@ -199,6 +199,27 @@ def test_mixing_meets_the_limit_and_the_budgets(spark, limit):
         assert all(sorted(x.mix_epoch for x in drawn if x.doc_id == d) == list(range(c)) for d, c in passes.items())
 
 
+def test_mixing_realises_a_permutation_of_blocks(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("doc_id") % 5)))
+    mixed = mixing.temperature_mix(docs, repetition_limit=1.5, block_tokens=2000).collect()
+    for source in {r.source for r in mixed}:
+        drawn = sorted((r for r in mixed if r.source == source), key=lambda r: r.mix_position)
+        assert [r.mix_position for r in drawn] == list(range(len(drawn)))
+        assert [r.mix_epoch for r in drawn] == sorted(r.mix_epoch for r in drawn)
+        passes = [[r.doc_id for r in drawn if r.mix_epoch == e] for e in range(drawn[-1].mix_epoch + 1)]
+        assert all(p == passes[0][: len(p)] and len(set(p)) == len(p) for p in passes)  # later passes follow the same order
+        assert len(passes[0]) < 6 or passes[0] != sorted(passes[0])
+
+
+def test_mixing_keeps_columns_named_like_its_own(spark):
+    names = ["_s", "_h", "_b", "_passes", "rank", "mix_weight"]
+    docs = spark.createDataFrame([(i, f"a b {i}", "xy"[i % 2], *[f"{n}{i}" for n in names]) for i in range(20)], "doc_id bigint, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for positions in (True, False):
+        mixed = mixing.temperature_mix(docs, positions=positions)
+        assert mixed.columns[:8] == docs.columns[:8] and mixed.schema["mix_weight"].dataType.simpleString() == "double"
+        assert all(r["_s"] == f"_s{r.doc_id}" and r["rank"] == f"rank{r.doc_id}" for r in mixed.collect()) and mixed.count() == 20
+
+
 def test_mixing_meets_a_target_entropy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 2 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("doc_id") % 5)))
     mixed = mixing.temperature_mix(docs, target_entropy=1.3, repetition_limit=None, block_tokens=500)

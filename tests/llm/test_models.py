@@ -141,3 +141,23 @@ def test_stored_images_tiles_and_hashes_match_plain_computations(spark):
         assert sum(a != b for a, b in zip(f"{int(r.feature, 16):064b}", bits)) <= 1 and re.fullmatch("[0-9a-f]{16}", r.feature)
     with pytest.raises(Exception, match="MediaError"):
         media.media_features(spark.createDataFrame([(1, 0, None)], "id bigint, n_bytes bigint, media binary")).collect()
+
+
+def test_learning_texts_stay_within_their_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w" * (10 * i + 1)) for i in range(60)], "doc_id bigint, text string")
+    marks = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.append((texts, labels)))
+    toxicity.fit_labels(docs, marks, 1200, "doc_id", "text", "toxic", 0, 5, 2000)
+    toxicity.fit_labels(docs, marks, 1200, "doc_id", "text", "toxic", 0, 5, 1 << 20)
+    (few, marked), (every, _) = seen
+    assert 0 < len(few) < len(every) and set(few) <= set(every)
+    for label in (0, 1):
+        assert 1400 < sum(len(t) for t, y in zip(few, marked) if y == label) <= 2000
+
+
+def test_columns_named_like_the_working_ones_stay(spark, odd_docs):
+    marks = spark.createDataFrame([(1, 1), (7, 0), (8, 0)], "doc_id bigint, toxic int")
+    odd = odd_docs.withColumnRenamed("key", "score").withColumnRenamed("digest", "_score")
+    kept = toxicity.clean_rows(odd, marks)
+    assert kept.columns == odd.columns and {r["score"] for r in kept.collect()} <= {"z", None}
