@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kvlake.llm.langid import bounded_sample
 from kvlake.llm.ngrams import hashed, plain
-from kvlake.llm.storage import Scratch, prepare_workers
+from kvlake.llm.storage import Scratch, prepare_workers, unused
 
 BITS, ORDERS, WIDTH = 16, (3, 4, 5), 24
 #: Rejecting a clean text weighs as much as passing so many toxic ones.
@@ -163,25 +163,29 @@ def score_toxicity(
     label_col: str = "toxic",
     remainder: int = 0,
     modulus: int = 5,
+    class_bytes: int = 16 << 20,
 ) -> DataFrame:
     """One row per input row: id, held_out, score, predicted.
 
     Learns from labels of rows whose CRC-32 of the id modulo ``modulus`` is not
     ``remainder``, at most ``per_class`` of each class (those with the smallest
-    hash of their id); an id labelled twice counts as toxic if any label does.
-    The score of each row depends on its whole text alone.  Null and empty texts
-    are scored as the text without n-grams.  A null id is not held out and never
+    hash of their id), less those with which the texts of a class would pass
+    ``class_bytes``; an id labelled twice counts as toxic if any label does.  The
+    score of each row depends on its whole text alone.  Null and empty texts are
+    scored as the text without n-grams.  A null id is not held out and never
     learned from.  Without labels of both classes the score is that of the only
     class, or 0 where there is none.  Repeated rows each get a score, other
     columns are ignored, and an empty table gives an empty result.
     """
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == remainder, F.lit(False))
-    model = fit_labels(docs, labels, per_class, id_col, text_col, label_col, remainder, modulus)
-    scored = _with_scores(docs.select(id_col, text_col, held.alias("held_out")), model, text_col)
+    model = fit_labels(docs, labels, per_class, id_col, text_col, label_col, remainder, modulus, class_bytes)
+    scored = _with_scores(docs.select(F.col(id_col), F.col(text_col).alias("text"), held.alias("held_out")), model, "text", "score")
     return scored.select(id_col, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def fit_labels(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str, remainder: int, modulus: int) -> Model:
+def fit_labels(
+    docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str, remainder: int, modulus: int, class_bytes: int
+) -> Model:
     """The model of the bounded sample that ``score_toxicity`` describes."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     learn = F.crc32(F.col("id").cast("string")) % modulus != remainder
@@ -189,31 +193,46 @@ def fit_labels(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str,
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     marked = marked.where(learn).groupBy("id").agg(F.max("y").alias("y"))
     picked = bounded_sample(marked, "y", per_class, scratch)
-    sample = rows.join(F.broadcast(picked), "id").select("id", "text", "y").collect()
-    sample = sorted(((r[0], r[1] or "", r[2]) for r in sample), key=lambda r: (r[0], r[1]))
+    found = scratch.table(rows.join(F.broadcast(picked), "id").select("id", F.coalesce("text", F.lit("")).alias("text"), "y").distinct(), "texts")
+    sizes = found.select("id", "y", F.xxhash64(F.lit(5), "id").alias("h"), F.octet_length("text").alias("size")).collect()
+    spent: dict[int, int] = {}
+    within = set()
+    for r in sorted(sizes, key=lambda r: (r["h"], r["id"], r["size"])):
+        if spent.get(r["y"], 0) + r["size"] <= class_bytes:
+            spent[r["y"]] = spent.get(r["y"], 0) + r["size"]
+            within.add((r["id"], r["size"]))
+    longest = max((size for _, size in within), default=0)
+    sample = found.where(F.octet_length("text") <= longest).collect() if len(within) < len(sizes) else found.collect()
+    sample = sorted((r["id"], r["text"], r["y"]) for r in sample if len(within) == len(sizes) or (r["id"], len(r["text"].encode())) in within)
     return train([r[1] for r in sample], [int(r[2] > 0) for r in sample])
 
 
-def _with_scores(rows: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """``rows`` and their ``score``, from the whole text of each."""
+def _with_scores(rows: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
+    """``rows`` and the score of each one's whole text, under a name that no column has."""
     spark = rows.sparkSession
     prepare_workers(spark)
     shared = spark.sparkContext.broadcast(model)
-    schema = StructType([*(f for f in rows.schema.fields if f.name != "score"), StructField("score", DoubleType())])
-    at = [f.name for f in schema].index(text_col)
+    schema = StructType([*rows.schema.fields, StructField(name, DoubleType())])
+    at = rows.columns.index(text_col)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             scores = known.scores(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, name])
 
-    return rows.select([c for c in rows.columns if c != "score"]).mapInArrow(rate, schema)
+    return rows.mapInArrow(rate, schema)
 
 
 def clean_rows(
-    docs: DataFrame, labels: DataFrame, per_class: int = 1200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+    docs: DataFrame, labels: DataFrame, per_class: int = 1200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", class_bytes: int = 16 << 20
 ) -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, with all their columns and ``score``."""
-    model = fit_labels(docs, labels, per_class, id_col, text_col, label_col, 0, 5)
-    return _with_scores(docs, model, text_col).where("score < 0.5")
+    """The rows of ``docs`` that score below 0.5, with all their columns and no other.
+
+    The model is that of ``score_toxicity``, and so are nulls, empty texts and
+    repeated labels.  Repeated rows all stay or go, a column named like the score
+    stays as it is, and an empty table gives an empty result.
+    """
+    model = fit_labels(docs, labels, per_class, id_col, text_col, label_col, 0, 5, class_bytes)
+    (name,) = unused(docs, "score")
+    return _with_scores(docs, model, text_col, name).where(F.col(name) < 0.5).drop(name)
