@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvlake.llm.storage import Scratch
+from kvlake.llm.storage import Scratch, unused
 
 #: Bits of the bitmap filter: 2,048 bitmaps of 4 KiB, at most 8 MiB in all.
 FILTER_BITS = 1 << 26
@@ -86,12 +86,20 @@ def key_filter(keys: DataFrame, key: str, scratch: Scratch, name: str = "filter"
     return scratch.table(built, name)
 
 
+def flagged(rows: DataFrame, key: str, bitmaps: DataFrame, flag: str) -> DataFrame:
+    """``rows`` and whether the filter has their key set: always for keys in it, seldom for others."""
+    at = _position(F.col(key))
+    bucket, place, held, bits = unused(rows, "bucket", "place", "held", "bits")
+    marked = rows.withColumn(bucket, F.bitmap_bucket_number(at)).withColumn(place, F.bitmap_bit_position(at))
+    marked = marked.join(F.broadcast(bitmaps.select(F.col("bucket").alias(held), F.col("bits").alias(bits))), F.col(bucket) == F.col(held), "left")
+    byte = f"cast(conv(hex(substring({bits}, cast({place} div 8 as int) + 1, 1)), 16, 10) as int)"
+    return marked.select(*rows.columns, F.expr(f"coalesce(shiftright({byte}, cast({place} % 8 as int)) & 1, 0) = 1").alias(flag))
+
+
 def may_hold(rows: DataFrame, key: str, bitmaps: DataFrame) -> DataFrame:
     """Rows whose key is set in the filter, and some whose is not."""
-    at = _position(F.col(key))
-    marked = rows.select(F.struct(*rows.columns).alias("row"), F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("place"))
-    byte = "cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int)"
-    return marked.join(F.broadcast(bitmaps), "bucket").where(f"shiftright({byte}, cast(place % 8 as int)) & 1 = 1").select("row.*")
+    (flag,) = unused(rows, "flag")
+    return flagged(rows, key, bitmaps, flag).where(F.col(flag)).drop(flag)
 
 
 def lookup(index: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -104,6 +112,14 @@ def point_lookup(index: DataFrame, digest: bytes) -> DataFrame:
     return index.where(F.col("digest") == F.lit(bytearray(digest)))
 
 
+def _indexed(docs: DataFrame, id_col: str, text_col: str, memtable_rows: int, fan_in: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Digests of all rows, their index, and a filter of the raw hashes of texts that others equal."""
+    rows = scratch.table(digests(docs, id_col, text_col), "digests")
+    index = build_index(rows.select("id", "digest"), scratch, memtable_rows, fan_in)
+    hits = lookup(index.where("n > 1").select("digest"), rows.select("raw", "digest"), scratch)
+    return rows, index, key_filter(hits.select("raw").distinct(), "raw", scratch, "suspects")
+
+
 def exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = MEMTABLE_ROWS, fan_in: int = FAN_IN
 ) -> DataFrame:
@@ -120,12 +136,9 @@ def exact_duplicates(
     those are normalised whose raw hash a shared digest has.
     """
     scratch = Scratch(docs.sparkSession, "exactdedup")
-    rows = scratch.table(digests(docs, id_col, text_col), "digests")
-    index = build_index(rows.select("id", "digest"), scratch, memtable_rows, fan_in)
-    shared = index.where("n > 1")
-    suspects = lookup(shared.select("digest"), rows.select("raw", "digest"), scratch).select("raw")
+    rows, index, suspects = _indexed(docs, id_col, text_col, memtable_rows, fan_in, scratch)
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id")).withColumn("raw", F.xxhash64("text"))
-    bodies = may_hold(texts, "raw", key_filter(suspects, "raw", scratch, "suspects")).select("id", normalised(F.col("text")).alias("body"))
+    bodies = may_hold(texts, "raw", suspects).select("id", normalised(F.col("text")).alias("body"))
     bodies = bodies.select("id", "body", _digest(F.col("body")).alias("digest"))
     # Byte verification: a group whose smallest and largest texts agree is one text.
     # A text that is here by a false positive of the filter is a group of its own.
@@ -144,6 +157,28 @@ def exact_duplicates(
     )
 
 
+def without_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = MEMTABLE_ROWS, fan_in: int = FAN_IN
+) -> DataFrame:
+    """Of equal texts, one row with the smallest id; all columns of ``docs``.
+
+    Equality and null texts are those of ``exact_duplicates``.  Rows that share
+    the smallest id, or are all without one, are tied: of these the row whose
+    columns are the smallest stays, one by one in their order.  Columns must be
+    of types that can be ordered.  An empty table gives an empty result.
+
+    Rows whose text no other row equals, by the index, go through as they are;
+    the others are grouped by their bytes, and a task sends one row a group.
+    """
+    scratch = Scratch(docs.sparkSession, "exactcopies")
+    suspects = _indexed(docs, id_col, text_col, memtable_rows, fan_in, scratch)[2]
+    raw, flag = unused(docs, "raw", "flag")
+    marked = flagged(docs.withColumn(raw, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))), raw, suspects, flag).drop(raw)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.struct(*docs.columns).alias("row"))).alias("first")
+    kept = marked.where(F.col(flag)).groupBy(normalised(F.col(text_col)).alias("body")).agg(first).select("first.row.*")
+    return marked.where(~F.col(flag)).drop(flag).unionByName(kept)
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256

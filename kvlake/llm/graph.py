@@ -20,6 +20,9 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     themselves; the root is the smallest node of the component.  Rounds grow with
     the logarithm of the longest chain.  Self-links and repeats are ignored; an
     empty table gives an empty result.
+
+    Smallest neighbours are written before they are joined, so that the join
+    deals both sides itself and a hub's rows can be split among tasks.
     """
     edges = scratch.table(
         links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges0"
@@ -28,10 +31,10 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     while before[0]:
         turn += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        lowest = scratch.table(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), f"around{turn}")
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.table(large, f"large{turn}")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), f"below{turn}")
         small = (
             large.join(lowest, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
@@ -41,8 +44,8 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         )
         edges = scratch.table(small, f"edges{turn}")
         after = _state(edges)
-        scratch.remove(f"large{turn}")
-        scratch.remove(f"edges{turn - 1}")
+        for name in (f"around{turn}", f"large{turn}", f"below{turn}", f"edges{turn - 1}"):
+            scratch.remove(name)
         if after == before:
             break
         before = after

@@ -12,6 +12,7 @@ corpus, so no size bound for a broadcast of them can be proven.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -21,8 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kvlake.llm.exactdedup import flagged, key_filter
 from kvlake.llm.graph import connected_components
-from kvlake.llm.storage import Scratch, prepare_workers
+from kvlake.llm.storage import Scratch, prepare_workers, unused
 
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -219,19 +221,34 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-#: Shape of the long fingerprints: 16 words of 64 bits, dealt by 64 bands of 16
-#: bits; the first 256 bits are compared where two texts meet.  At similarity 0.8
-#: a bit differs with chance 0.15, so 1 - (1 - 0.85 ** 16) ** 64 = 0.99 of such
-#: pairs share a band, and 0.999 of these differ in at most 57 of 256 bits.
-LANES, BANDS, SKETCH_BYTES, SKETCH_RADIUS = 16, 64, 32, 57
+#: Bits of a long fingerprint that are compared where two texts meet, and the
+#: radius: at similarity 0.8 a bit differs with chance 0.15, so 0.999 of such pairs
+#: differ in at most 57 of 256 bits.
+SKETCH_BYTES, SKETCH_RADIUS = 32, 57
+_AGREE, _RECALL = 0.85, 0.99
+#: Texts that share a band of their bits by chance, on average, and least bits of a band.
+_MET_BY_CHANCE, _LEAST_WIDTH = 4, 16
+#: Texts in a bucket from which they are linked without being compared.
+CROWDED = 4096
 _KEY_BYTES = 16
 
 
+def band_shape(texts: int) -> tuple[int, int]:
+    """Bits of a band, and how many bands, for so many texts.
+
+    A band grows by a bit with each doubling of the texts, so the texts that meet
+    by chance stay as few; the number of bands follows, so that 0.99 of the pairs
+    of similarity 0.8 agree in one band at least.
+    """
+    width = max(_LEAST_WIDTH, math.ceil(math.log2(max(1, texts) / _MET_BY_CHANCE)))
+    return width, math.ceil(math.log(1 - _RECALL) / math.log(1 - _AGREE**width) / 8) * 8
+
+
 def _text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, _KEY_BYTES)
 
 
-def long_sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def long_sketches(docs: DataFrame, id_col: str, text_col: str, words: int, shape: tuple[int, int]) -> DataFrame:
     """``(key, id, sketch, bands)`` of every row; ``key`` names the text.
 
     A shingle counts once however often the text repeats it, as in the sets that
@@ -239,60 +256,67 @@ def long_sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> Da
     """
     prepare_workers(docs.sparkSession)
     source = docs.select(_text_key(F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    width, bands = shape
+    lanes = -(-width * bands // 64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = np.arange(BANDS, dtype=np.int32) << 16
+        first, power = np.arange(bands, dtype=np.int64) << width, 1 << np.arange(width, dtype=np.int64)
         for batch in batches:
-            prints = [fingerprint(np.unique(shingle_hashes(x.as_py(), words)), LANES) for x in batch.column(2)]
-            bands = pa.array([first + f.view("<u2") for f in prints], pa.list_(pa.int32()))
+            prints = [fingerprint(np.unique(shingle_hashes(x.as_py(), words)), lanes) for x in batch.column(2)]
+            bits = [np.unpackbits(f.view(np.uint8), bitorder="little")[: width * bands].reshape(bands, width) for f in prints]
+            buckets = pa.array([first + b @ power for b in bits], pa.list_(pa.int64()))
             sketch = pa.array([f.tobytes()[:SKETCH_BYTES] for f in prints], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sketch, bands], ["key", "id", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sketch, buckets], ["key", "id", "sketch", "bands"])
+
+    return source.mapInArrow(scan, f"key binary, id {source.schema['id'].dataType.simpleString()}, sketch binary, bands array<bigint>")
+
 
-    return source.mapInArrow(scan, f"key binary, id {source.schema['id'].dataType.simpleString()}, sketch binary, bands array<int>")
+def _near_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that span the groups of each bucket, from rows sorted by bucket and item.
+
+    Items come in the order of their keys, and a link goes to the smallest key in
+    reach, so the buckets in which a group meets give the same few links.  Chance
+    brings a few texts to a bucket; from ``CROWDED`` on most are near copies, so
+    all are linked to the first without being compared or held.  Links only make
+    crowds: which texts are similar is decided there.
+    """
+    bucket, items, first = None, [], None
 
+    def ended() -> list[tuple]:
+        tree, groups, links = BKTree(), _Groups(), []
+        for item in items if len(items) > 1 else []:
+            key, value = item[:_KEY_BYTES], int.from_bytes(item[_KEY_BYTES:], "little")
+            links += [(other, key) for other in sorted(tree.near(value, SKETCH_RADIUS)) if groups.join(other, key)]
+            tree.add(value, key)
+        return links
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """Items of each bucket with several, from rows sorted by bucket."""
-    last, items = None, []
+    rows: list[tuple] = []
     for batch in batches:
         buckets = batch.column(0).to_numpy()
         if not len(buckets):
             continue
         cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
-        held = batch.column(1)
         for a, b in zip(cuts, cuts[1:], strict=False):
-            if buckets[a] != last:
-                if len(items) > 1:
-                    yield int(last), items
-                last, items = buckets[a], []
-            items += held.slice(a, b - a).to_pylist()
-    if len(items) > 1:
-        yield int(last), items
+            if buckets[a] != bucket:
+                rows += ended()
+                bucket, items, first = buckets[a], [], None
+            part = batch.column(1).slice(a, b - a).to_pylist()
+            if first is None and len(items) + len(part) < CROWDED:
+                items += part
+            else:
+                part = items + part
+                first, items = first or part[0][:_KEY_BYTES], []
+                rows += [(first, item[:_KEY_BYTES]) for item in part if item[:_KEY_BYTES] != first]
+            if len(rows) > 4096:
+                yield _binary_batch(rows)
+                rows = []
+    yield _binary_batch(rows + ended())
 
 
 def _binary_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in range(2)], ["u", "v"])
 
 
-def _near_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that span the groups of each bucket: one less than a group's members.
-
-    Items come in the order of their keys, and a link goes to the smallest key in
-    reach, so the buckets in which a group meets give the same few links.
-    """
-    rows: list[tuple] = []
-    for _, items in _meetings(batches):
-        tree, groups = BKTree(), _Groups()
-        for item in items:
-            key, value = item[:_KEY_BYTES], int.from_bytes(item[_KEY_BYTES:], "little")
-            rows += [(other, key) for other in sorted(tree.near(value, SKETCH_RADIUS)) if groups.join(other, key)]
-            tree.add(value, key)
-        if len(rows) > 4096:
-            yield _binary_batch(rows)
-            rows = []
-    yield _binary_batch(rows)
-
-
 def _parity(hashes: np.ndarray, bits: int) -> np.ndarray:
     """How often a hash falls on each of ``bits`` places, modulo 2.
 
@@ -381,14 +405,16 @@ def near_duplicates(
     Texts are linked where their sets of word shingles have at least the Jaccard
     ``similarity``; groups are what links reach, and the text with the smallest
     id stays (a null id is larger than any; then the smaller key).  Candidates
-    come from SimHash fingerprints of 1,024 bits: texts meet where a band of 16
-    bits agrees, and BK-trees link those that differ in few bits to crowds.
-    Inside a crowd texts are compared by their shingles, so no group holds a
-    false link; about one link of similarity 0.8 in a hundred is not found, fewer
-    above.  Texts without words are one group.
+    come from SimHash fingerprints of 1,024 bits and more: texts meet where a band
+    of 16 bits and more agrees, and BK-trees link those that differ in few bits to
+    crowds.  Inside a crowd texts are compared by their shingles, so no group
+    holds a false link; about one link of similarity 0.8 in a hundred is not
+    found, fewer above.  Texts without words are one group, null ones included.
+    Rows that share a text count as one, other columns are ignored, and an empty
+    table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
-    rows = long_sketches(docs, id_col, text_col, words)
+    rows = long_sketches(docs, id_col, text_col, words, band_shape(docs.count()))
     sketches = scratch.table(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "sketches")
     dealt = sketches.select(F.explode("bands").alias("bucket"), F.concat("key", "sketch").alias("item"))
     met = dealt.repartition("bucket").sortWithinPartitions("bucket", "item").mapInArrow(_near_links, "u binary, v binary")
@@ -409,6 +435,12 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """The rows of ``docs`` whose text stays in its group; see ``near_duplicates``.
 
     Rows that share one text all stay or go: exact copies are another operator's.
+    All columns stay as they are, whatever their names.  Only rows that a filter
+    of the dropped texts may hold are joined with these; the others do not move.
     """
-    dropped = near_duplicates(docs, id_col, text_col, words, similarity).select(F.col("key").alias("_key"))
-    return docs.withColumn("_key", _text_key(F.col(text_col))).join(dropped, "_key", "left_anti").select(docs.columns)
+    scratch = Scratch(docs.sparkSession, "neardup")
+    dropped = near_duplicates(docs, id_col, text_col, words, similarity).select("key")
+    key, flag = unused(docs, "key", "flag")
+    marked = flagged(docs.withColumn(key, _text_key(F.col(text_col))), key, key_filter(dropped, "key", scratch), flag)
+    kept = marked.where(F.col(flag)).join(dropped.withColumnRenamed("key", key), key, "left_anti")
+    return marked.where(~F.col(flag)).unionByName(kept).select(docs.columns)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kvlake.llm import simhash
+from kvlake.llm import exactdedup, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -141,3 +141,33 @@ def test_stages_take_odd_and_empty_tables(spark, odd_docs, no_docs, stage):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     assert stage(spark, odd_docs.select(*columns), SF).count() > 0
     assert stage(spark, no_docs.select(*columns), SF).count() == 0
+
+
+def test_bands_grow_with_the_texts_and_keep_their_recall():
+    for texts in (0, 1, 10**4, 2**18, 2**20, 10**8, 10**10):
+        width, bands = simhash.band_shape(texts)
+        assert texts / 2**width <= 4 and 1 - (1 - 0.85**width) ** bands >= 0.99
+    assert simhash.band_shape(10**5) == (16, 64)
+
+
+def test_crowded_buckets_are_linked_in_a_stream(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "CROWDED", 10)
+    keys = [i.to_bytes(16, "big") for i in range(40)]
+    far = [bytes([i * 37 % 256, i * 91 % 256] * 16) for i in range(40)]
+    rows = [(1, keys[i] + far[i]) for i in range(9)] + [(2, keys[i] + far[i]) for i in range(25)] + [(3, keys[i] + bytes(32)) for i in range(3)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[a : a + 7]]), pa.array([r[1] for r in rows[a : a + 7]])], ["bucket", "item"]) for a in range(0, len(rows), 7)]
+    found = [(u, v) for b in simhash._near_links(iter(batches)) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert all((keys[0], keys[i]) in found for i in range(25)) and found.count((keys[0], keys[1])) == 2 and found.count((keys[0], keys[2])) == 2
+    alone = [(u, v) for u, v in found if (u, v) not in [(keys[0], k) for k in keys]]
+    radius = simhash.SKETCH_RADIUS
+    assert all(sum((a ^ b).bit_count() for a, b in zip(far[keys.index(u)], far[keys.index(v)])) <= radius for u, v in alone)
+
+
+def test_columns_named_like_the_working_ones_stay(spark, odd_docs):
+    odd = odd_docs.withColumnRenamed("digest", "_key").withColumnRenamed("id", "flag").withColumn("raw", F.lit("r"))
+    for stage in (simhash.without_near_duplicates, exactdedup.without_duplicates):
+        got = stage(odd).collect()
+        assert set(got[0].asDict()) == set(odd.columns) and {r["key"] for r in got} <= {"z", None} and {r["_key"] for r in got} <= {"y", None}
+        assert {r["flag"] for r in got} <= {"x", None} and {r["raw"] for r in got} == {"r"}
