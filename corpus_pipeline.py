@@ -8,7 +8,6 @@ reads it again for the next stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kvlake.llm import exactdedup, mixing, packing, simhash, toxicity
 from kvlake.llm.storage import Scratch
@@ -17,42 +16,55 @@ _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
+    """Documents that the toxicity model does not reject.
+
+    Null and empty texts are scored as texts without n-grams, rows with a null id
+    are scored like others, repeated rows all stay or go, and columns beside
+    those of documents go.  An empty table gives an empty result.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.clean_rows(docs, labels).select(*_COLUMNS)
+    return toxicity.clean_rows(docs.select(*_COLUMNS), labels)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one row with the smallest doc_id.
 
-    Rows that share that id, or are all without one, are tied: of their columns
-    the smallest stay, and a task sends one row of each tie.
+    Rows that share that id, or are all without one, are tied: of these the one
+    with the smallest columns stays.  A null text equals the empty one.  Columns
+    beside those of documents go, and an empty table gives an empty result.
     """
-    scratch = Scratch(spark, "exact_copies")
-    judged = exactdedup.exact_duplicates(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    judged = scratch.table(judged.where("not kept or n > 1").select("doc_id", "text_sha256", "kept"), "judged")
-    body = exactdedup.normalised(F.col("text"))
-    marked = docs.select(*_COLUMNS, F.sha2(body.cast("binary"), 256).alias("text_sha256"))
-    same = (marked["text_sha256"] == judged["text_sha256"]) & marked["doc_id"].eqNullSafe(judged["doc_id"])
-    alone = marked.join(judged, same, "left_anti").select(*_COLUMNS)
-    if judged.where("kept").isEmpty():
-        return alone
-    tied = marked.join(judged.where("kept"), same, "left_semi").groupBy("doc_id", body.alias("body"))
-    return alone.unionByName(tied.agg(F.min(F.struct(*_COLUMNS)).alias("row")).select("row.*"))
+    return exactdedup.without_duplicates(docs.select(*_COLUMNS))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8)."""
-    return simhash.without_near_duplicates(docs).select(*_COLUMNS)
+    """One document of each group of near duplicates (five words, similarity 0.8).
+
+    The text with the smallest id stays, a null id being larger than any; rows of
+    one text all stay or go, and texts without words, null ones included, are one
+    group.  Columns beside those of documents go, and an empty table gives an
+    empty result.
+    """
+    return simhash.without_near_duplicates(docs.select(*_COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, and documents of small sources up to four times."""
-    return mixing.temperature_mix(docs, repetition_limit=4.0, keep_all=True).select(*_COLUMNS)
+    """Every document once, and documents of small sources up to four times.
+
+    A null source is a source of its own, a source without words comes out once,
+    and rows that share an id are drawn together.  Columns beside those of
+    documents go, and an empty table gives an empty result.
+    """
+    mixed = mixing.temperature_mix(docs.select(*_COLUMNS), repetition_limit=4.0, keep_all=True, positions=False)
+    return mixed.select(*_COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences in length buckets and batches."""
+    """Sequences in length buckets and batches.
+
+    Null and empty texts make a sequence of no words, repeated rows are packed as
+    often as they occur, ids may be null, columns other than the id and the text
+    are ignored, and an empty table gives an empty result.
+    """
     return packing.pack_buckets(docs)
 
 
