@@ -159,7 +159,7 @@ def test_crowded_buckets_are_linked_in_a_stream(monkeypatch):
     rows = [(1, keys[i] + far[i]) for i in range(9)] + [(2, keys[i] + far[i]) for i in range(25)] + [(3, keys[i] + bytes(32)) for i in range(3)]
     batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[a : a + 7]]), pa.array([r[1] for r in rows[a : a + 7]])], ["bucket", "item"]) for a in range(0, len(rows), 7)]
     found = [(u, v) for b in simhash._near_links(iter(batches)) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    assert all((keys[0], keys[i]) in found for i in range(25)) and found.count((keys[0], keys[1])) == 2 and found.count((keys[0], keys[2])) == 2
+    assert all((keys[0], keys[i]) in found for i in range(1, 25)) and found.count((keys[0], keys[1])) == 2 and found.count((keys[0], keys[2])) == 2
     alone = [(u, v) for u, v in found if (u, v) not in [(keys[0], k) for k in keys]]
     radius = simhash.SKETCH_RADIUS
     assert all(sum((a ^ b).bit_count() for a, b in zip(far[keys.index(u)], far[keys.index(v)])) <= radius for u, v in alone)
