@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITMAP_BITS = 32768
+#: Bytes of bitmaps up to which they are sent to all tasks; larger ones are joined.
+BROADCAST_BYTES = 64 << 20
 
 
 def hash_count(bits_per_key: int) -> int:
@@ -31,7 +33,9 @@ def build_bloom(keys: DataFrame, count: int, bits_per_key: int = 10) -> tuple[Da
 def probe_bloom(probes: DataFrame, bloom: tuple[DataFrame, int, int]) -> DataFrame:
     """``probes(key, ...)`` with ``maybe``: false only for keys that were not added."""
     bitmaps, k, size = bloom
-    spots = probes.select("key", F.explode(_positions(F.col("key"), k, size)).alias("at"))
+    if size <= BROADCAST_BYTES * 8:
+        bitmaps = F.broadcast(bitmaps)
+    spots = probes.select("key").distinct().select("key", F.explode(_positions(F.col("key"), k, size)).alias("at"))
     spots = spots.select("key", F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("place")).join(bitmaps, "bucket", "left")
     bit = F.expr("coalesce(shiftright(cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int), cast(place % 8 as int)) & 1, 0)")
     answers = spots.groupBy("key").agg(F.min(bit).alias("m"))

@@ -9,7 +9,11 @@ _ALL_ONES = (1 << 64) - 1
 
 
 def encode_internal_key(key: bytes, sequence: int, value_type: int) -> bytes:
-    """Key, inverted big-endian sequence, type.  Never sort by it: see the README."""
+    """Key, inverted big-endian sequence, type.
+
+    Never sort by it: where one key is a prefix of another, the bytes that follow
+    it are compared with those of the longer key.
+    """
     return key + (_ALL_ONES - sequence).to_bytes(8, "big") + bytes([value_type])
 
 

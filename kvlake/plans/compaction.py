@@ -96,10 +96,22 @@ def stall_status(level0_runs: Column, options: Options) -> Column:
     return F.when(level0_runs >= options.l0_stop_trigger, "STOP").when(level0_runs >= options.l0_slowdown_trigger, "SLOW").otherwise("OK")
 
 
-def pick_from_stats(levels: DataFrame, options: Options) -> DataFrame:
-    """The picker as a query over ``(level, files, bytes)``: at most one row."""
+def pick_from_files(files: DataFrame, options: Options) -> DataFrame:
+    """``pick_compaction`` as a query over run metadata: ``(level, output_level, inputs)``, at most one row.
+
+    ``inputs`` counts the chosen runs and those of the next level that overlap them.
+    """
+    levels = files.groupBy("level").agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"))
     due = F.when(F.col("level") == 0, F.col("files") >= options.l0_compaction_trigger).otherwise(
         (F.col("level") < options.max_levels - 1) & (F.col("bytes") > F.lit(options.base_level_size) * F.pow(F.lit(options.level_size_multiplier), F.col("level") - 1))
     )
-    picked = levels.where(due).orderBy("level").limit(1)
-    return picked.select("level", (F.col("level") + 1).alias("output_level"), F.when(F.col("level") == 0, F.col("files")).otherwise(1).cast("long").alias("inputs"))
+    picked = levels.where(due).orderBy("level").limit(1).select("level")
+    held = files.join(F.broadcast(picked), "level")
+    first = held.where("level > 0").orderBy("min_key", "file_number").limit(1)
+    chosen = held.where("level = 0").unionByName(first)
+    span = chosen.groupBy("level").agg(F.count("*").alias("n"), F.min("min_key").alias("low"), F.max("max_key").alias("high"))
+    span = span.select((F.col("level") + 1).alias("below"), "n", "low", "high")
+    met = files.join(F.broadcast(span), (F.col("level") == F.col("below")) & (F.col("min_key") <= F.col("high")) & (F.col("max_key") >= F.col("low")))
+    overlaps = met.groupBy("below").agg(F.count("*").alias("more"))
+    inputs = (F.col("n") + F.coalesce("more", F.lit(0))).alias("inputs")
+    return span.join(overlaps, "below", "left").select((F.col("below") - 1).alias("level"), F.col("below").alias("output_level"), inputs)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvlake.schema import TRAILER_BYTES
+from kvlake.sources.workspace import Workspace
 
 
 def entry_size() -> str:
@@ -50,11 +51,21 @@ def overlapping(files: DataFrame, start: bytes | str, end: bytes | str) -> DataF
     return files.where((F.col("min_key") < F.lit(end)) & (F.col("max_key") >= F.lit(start)))
 
 
-def block_index(log: DataFrame, rows_per_block: int, by: str = "file_number") -> DataFrame:
-    """Last key and entries of each block of a run in key order, newest version first."""
-    order = Window.partitionBy(by).orderBy(F.col("key").asc(), F.col("sequence").desc())
-    rows = log.withColumn("block", F.floor((F.row_number().over(order) - 1) / rows_per_block).cast("int"))
-    return rows.groupBy(by, "block").agg(F.max("key").alias("last_key"), F.count("*").alias("entries"))
+def block_index(log: DataFrame, rows_per_block: int, work: Workspace, by: str = "file_number") -> DataFrame:
+    """Last key and entries of each block of a run in key order, newest version first.
+
+    Rows are sorted by ranges, so a run of any size is dealt to several tasks; a
+    row's place is its place in its range and the rows of the run in earlier ones.
+    """
+    place = F.monotonically_increasing_id()
+    ordered = log.select(by, "key", "sequence").repartitionByRange(by, "key").sortWithinPartitions(F.col(by).asc(), F.col("key").asc(), F.col("sequence").desc())
+    ordered = work.table(ordered.select(by, "key", place.alias("place")).withColumn("range", F.shiftright("place", 33)), "ordered")
+    parts = ordered.groupBy(by, "range").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = work.table(parts.select(by, "range", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "starts")
+    rows = ordered.join(starts, [by, "range"])
+    block = F.floor((F.col("place") - F.col("first") + F.col("before")) / rows_per_block).cast("int")
+    return rows.groupBy(by, block.alias("block")).agg(F.max("key").alias("last_key"), F.count("*").alias("entries"))
 
 
 def find_block(index: DataFrame, probes: DataFrame, by: str = "file_number") -> DataFrame:

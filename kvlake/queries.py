@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvlake.db import Database
 from kvlake.functions import bloom, codec
 from kvlake.operators import batch, read, resolve
+from kvlake.operators.batch import WriteBatch
 from kvlake.plans import compaction, manifest
-from kvlake.schema import Options
+from kvlake.schema import Options, ReadOptions, WriteOptions
+from kvlake.sources.workspace import Workspace
 from kvlake.streaming import tail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -291,7 +294,7 @@ blocks AS (SELECT file_number, block, max(key) AS last_key, count(*) AS entries
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir).withColumn("file_number", F.floor(F.col("sequence") / 1000).cast("long"))
-    return manifest.block_index(log, 16)
+    return manifest.block_index(log, 16, Workspace(spark, "blocks"))
 
 
 @query(_BLOCKS + " SELECT * FROM blocks")
@@ -299,31 +302,18 @@ def kv_block_index(spark, sf_dir):
     return _blocks(spark, sf_dir)
 
 
-@query(_BLOCKS + """, probes AS (SELECT DISTINCT 'user' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key FROM customer WHERE c_custkey <= 30)
-SELECT f.file_number, p.key, coalesce(
-  (SELECT min(block) FROM blocks b WHERE b.file_number = f.file_number AND b.last_key >= p.key),
-  (SELECT max(block) FROM blocks b WHERE b.file_number = f.file_number)) AS block
-FROM probes p, (SELECT DISTINCT file_number FROM blocks) f""")
-def kv_find_block(spark, sf_dir):
-    return _find_blocks(spark, sf_dir, _read(spark, sf_dir, "customer").where("c_custkey <= 30"))
-
-
-def _find_blocks(spark: SparkSession, sf_dir: str, customers: DataFrame) -> DataFrame:
-    index = _blocks(spark, sf_dir)
-    runs = index.groupBy("file_number").agg(F.count("*").alias("_n")).drop("_n")
-    listed = runs.agg(F.collect_list("file_number").alias("runs"))  # metadata: one number per run
-    probes = customers.select(_key("c_custkey").alias("key")).join(F.broadcast(listed)).select("key", F.explode("runs").alias("file_number"))
-    return manifest.find_block(index, probes)
-
-
-@query(_BLOCKS + """, probes AS (SELECT DISTINCT 'user' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key FROM customer),
+@query(_BLOCKS + """, probes AS (
+  SELECT sequence // 1000 AS file_number, key FROM log UNION SELECT sequence // 1000 + 1, key FROM log),
 ends AS (SELECT file_number, last_key, min(block) AS block FROM blocks GROUP BY ALL),
 tops AS (SELECT file_number, max(block) AS top FROM blocks GROUP BY ALL),
-asked AS (SELECT f.file_number, f.top, p.key FROM probes p, tops f)
+asked AS (SELECT p.file_number, t.top, p.key FROM probes p JOIN tops t ON p.file_number = t.file_number)
 SELECT a.file_number, a.key, coalesce(e.block, a.top) AS block
 FROM asked a ASOF LEFT JOIN ends e ON a.file_number = e.file_number AND a.key <= e.last_key""")
-def kv_find_block_all(spark, sf_dir):
-    return _find_blocks(spark, sf_dir, _read(spark, sf_dir, "customer"))
+def kv_find_block(spark, sf_dir):
+    """Every key of a run is looked up in that run, where it is, and in the next one, where it may not be."""
+    own = event_log(spark, sf_dir).select(F.floor(F.col("sequence") / 1000).cast("long").alias("file_number"), "key")
+    probes = own.unionByName(own.withColumn("file_number", F.col("file_number") + 1)).distinct()
+    return manifest.find_block(_blocks(spark, sf_dir), probes)
 
 
 # -------------------------------------------------------------- compaction
@@ -331,11 +321,16 @@ def kv_find_block_all(spark, sf_dir):
 _SMALL = Options(base_level_size=20_000)
 
 
-@query("""SELECT level, level + 1 AS output_level, CASE WHEN level = 0 THEN files ELSE 1 END AS inputs FROM (
-  SELECT level, count(*) AS files, sum(file_size) AS bytes FROM runs GROUP BY level)
-WHERE CASE WHEN level = 0 THEN files >= 4 ELSE level < 6 AND bytes > 20000 * power(10, level - 1) END ORDER BY level LIMIT 1""")
+@query(""", due AS (
+  SELECT level FROM (SELECT level, count(*) AS files, sum(file_size) AS bytes FROM runs GROUP BY level)
+  WHERE CASE WHEN level = 0 THEN files >= 4 ELSE level < 6 AND bytes > 20000 * power(10, level - 1) END ORDER BY level LIMIT 1),
+held AS (SELECT runs.*, row_number() OVER (ORDER BY min_key, file_number) AS place FROM runs JOIN due ON runs.level = due.level),
+chosen AS (SELECT * FROM held WHERE level = 0 OR place = 1),
+span AS (SELECT level, count(*) AS n, min(min_key) AS low, max(max_key) AS high FROM chosen GROUP BY level)
+SELECT s.level, s.level + 1 AS output_level, s.n + (SELECT count(*) FROM runs r WHERE r.level = s.level + 1 AND r.min_key <= s.high AND r.max_key >= s.low) AS inputs
+FROM span s""")
 def kv_pick_compaction(spark, sf_dir):
-    return compaction.pick_from_stats(manifest.level_stats(event_runs(spark, sf_dir)), _SMALL)
+    return compaction.pick_from_files(event_runs(spark, sf_dir), _SMALL)
 
 
 @query("""SELECT l0_runs, CASE WHEN l0_runs >= 12 THEN 'STOP' WHEN l0_runs >= 8 THEN 'SLOW' ELSE 'OK' END AS status
@@ -396,15 +391,124 @@ def kv_key_codec(spark, sf_dir):
     return event_log(spark, sf_dir).select("key", "sequence", F.hex(encoded).alias("encoded"))
 
 
-@query(None)
+# CRC-32 bit by bit: the register is moved by each bit of the text, lowest first.
+@query("""SELECT key, sequence, CAST(xor(list_reduce(
+    list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(8 * strlen(value)), lambda i: CAST(ascii(substr(value, CAST(i // 8 + 1 AS BIGINT), 1)) AS BIGINT) >> CAST(i % 8 AS BIGINT) & 1)),
+    lambda c, b: xor(c >> 1, CASE WHEN c & 1 <> b THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END)), CAST(4294967295 AS BIGINT)) AS BIGINT) AS crc
+FROM log WHERE value_type = 1""")
 def kv_crc(spark, sf_dir):
     return event_log(spark, sf_dir).where("value_type = 1").select("key", "sequence", F.crc32("value").alias("crc"))
 
 
-@query(None)
+@query("""SELECT count(DISTINCT key) AS present, CAST(0 AS BIGINT) AS missed, (SELECT count(*) FROM customer) AS absent, true AS within_rate FROM log""")
 def kv_bloom(spark, sf_dir):
+    """No key is missed, and at most 3 in 100 absent ones pass (10 bits a key: about 0.8 in 100)."""
     keys = event_log(spark, sf_dir).select("key").distinct()
     filled = bloom.build_bloom(keys, keys.count())
-    other = _read(spark, sf_dir, "customer").select(_key("c_custkey", "cust").alias("key"), F.lit("absent").alias("kind"))
-    probes = keys.withColumn("kind", F.lit("present")).unionByName(other)
-    return bloom.probe_bloom(probes, filled).groupBy("kind", "maybe").agg(F.count("*").alias("n"))
+    other = _read(spark, sf_dir, "customer").select(_key("c_custkey", "cust").alias("key"), F.lit(False).alias("there"))
+    answers = bloom.probe_bloom(keys.withColumn("there", F.lit(True)).unionByName(other), filled)
+    passed = F.count_if(~F.col("there") & F.col("maybe"))
+    return answers.agg(
+        F.count_if("there").alias("present"), F.count_if(F.col("there") & ~F.col("maybe")).alias("missed"), F.count_if(~F.col("there")).alias("absent"),
+        (passed <= F.greatest(F.lit(3), 0.03 * F.count_if(~F.col("there")))).alias("within_rate"),
+    )
+
+
+# ---------------------------------------------------------------- the table
+
+
+def _filled(spark: SparkSession, sf_dir: str, options: Options, slices: int = 4) -> tuple[Database, list[int]]:
+    """A new table that holds the events, written in slices, and the sequence after each."""
+    db = Database.open(spark, Workspace(spark, "table").path, options)
+    log, seen = event_log(spark, sf_dir), []
+    count = log.count()
+    part = F.floor(F.col("sequence") * slices / count)
+    op = F.when(F.col("value_type") == 1, 1).otherwise(2).alias("op")
+    for i in range(slices):
+        db.write_frame(log.where(part == i).select(op, "key", "value", (F.col("sequence") - (count * i + slices - 1) // slices).alias("n")), "n")
+        seen.append(db.last_sequence)
+    return db, seen
+
+
+def _text(df: DataFrame) -> DataFrame:
+    return df.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+_TABLE = Options(l0_compaction_trigger=4, l0_slowdown_trigger=100, l0_stop_trigger=100, base_level_size=20_000, checkpoint_edits=3)
+
+
+@query("SELECT key, value FROM live")
+def kv_table_reopened(spark, sf_dir):
+    """Written as one batch, reopened, read."""
+    db, _ = _filled(spark, sf_dir, _TABLE, 1)
+    db.close()
+    return _text(Database.open(spark, db.folder.path, _TABLE).live())
+
+
+@query("SELECT key, value FROM live")
+def kv_table_compacted(spark, sf_dir):
+    """Written in slices, compacted until nothing is due, reopened from a checkpointed manifest, read."""
+    db, _ = _filled(spark, sf_dir, _TABLE, 6)
+    while db.compact():
+        pass
+    db.close()
+    return _text(Database.open(spark, db.folder.path, _TABLE).live())
+
+
+@query("""SELECT CAST(0 AS INTEGER) AS level, count(*) AS entry_count, CAST(sum(strlen(key) + 9 + coalesce(strlen(value), 0)) AS BIGINT) AS file_size, min(key) AS min_key, max(key) AS max_key
+FROM log GROUP BY sequence * 4 // (SELECT count(*) FROM log)""")
+def kv_table_runs(spark, sf_dir):
+    db, _ = _filled(spark, sf_dir, _TABLE)
+    return db.files_frame().select("level", "entry_count", "file_size", F.col("min_key").cast("string").alias("min_key"), F.col("max_key").cast("string").alias("max_key"))
+
+
+@query("""SELECT key, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY sequence DESC) AS rn FROM log WHERE sequence * 4 // (SELECT count(*) FROM log) < 2)
+WHERE rn = 1 AND value_type = 1""")
+def kv_table_snapshot(spark, sf_dir):
+    """Read at the sequence of the second slice, which is retained through a compaction."""
+    db, seen = _filled(spark, sf_dir, _TABLE)
+    db.snapshots.append(seen[1])
+    db.compact()
+    return _text(db.live(ReadOptions(snapshot=seen[1])))
+
+
+@query("SELECT key, value FROM live WHERE key >= 'user00000002' AND key < 'user00000012' ORDER BY key LIMIT 5")
+def kv_table_scan(spark, sf_dir):
+    return _text(_filled(spark, sf_dir, _TABLE.but(block_cache_size=8 << 20))[0].scan(START, END, 5))
+
+
+@query("""SELECT k.key, live.value, live.key IS NOT NULL AS found
+FROM (SELECT DISTINCT 'user' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key FROM customer) k LEFT JOIN live ON k.key = live.key""")
+def kv_table_multi_get(spark, sf_dir):
+    keys = _read(spark, sf_dir, "customer").select(_key("c_custkey").cast("binary").alias("key"))
+    found = _filled(spark, sf_dir, _TABLE)[0].multi_get(keys)
+    return found.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "found")
+
+
+@query("SELECT 'n' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS key, n_name AS value FROM nation WHERE n_regionkey <> 0")
+def kv_table_log_replay(spark, sf_dir):
+    """Single puts and deletes, some not synced, never flushed: reopening replays the log."""
+    db = Database.open(spark, Workspace(spark, "table").path)
+    nations = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()  # 25 rows at any scale
+    for r in nations:
+        db.put(f"n{r.n_nationkey:03d}", r.n_name, WriteOptions(sync=r.n_nationkey % 5 == 0))
+    for r in nations:
+        if r.n_regionkey == 0:
+            db.delete(f"n{r.n_nationkey:03d}", WriteOptions(sync=False))
+    db.close()
+    return _text(Database.open(spark, db.folder.path).live())
+
+
+@query("SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS key, r_name AS value FROM region")
+def kv_table_group_commit(spark, sf_dir):
+    """Batches of a shared writer, then a flush and a reopening."""
+    db = Database.open(spark, Workspace(spark, "table").path)
+    writer = db.group_commit()
+    regions = _read(spark, sf_dir, "region").select("r_regionkey", "r_name").collect()  # 5 rows at any scale
+    waits = [writer.submit(WriteBatch().put(f"r{r.r_regionkey}", "old").put(f"gone{r.r_regionkey}", "x")) for r in regions]
+    waits += [writer.submit(WriteBatch().put(f"r{r.r_regionkey}", r.r_name).delete(f"gone{r.r_regionkey}")) for r in regions]
+    writer.close()
+    assert [w.result() for w in waits] == [2 * i + 2 for i in range(len(waits))]
+    db.flush()
+    return _text(Database.open(spark, db.folder.path).live())

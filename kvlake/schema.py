@@ -53,6 +53,14 @@ class Options:
     max_levels: int = 7
     sync_writes: bool = True
     bloom_filters: bool = True
+    #: Bits of a run's bloom filter per key; its rate of false positives follows.
+    bloom_bits_per_key: int = 10
+    #: Bytes of a data page, the unit that a lookup reads.
+    block_size: int = 4 << 10
+    #: Bytes of entries of runs that reads keep in executor memory; 0: none.
+    block_cache_size: int = 0
+    #: Manifest edits after which all live files are written as one edit.
+    checkpoint_edits: int = 64
     write_stall_delay: float = 0.001
     #: Rows that one output file of a run aims at; files are cut by key range.
     rows_per_file: int = 5_000_000

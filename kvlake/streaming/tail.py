@@ -37,15 +37,12 @@ def write_stream(ops: DataFrame, db: Database, ordinal: str, checkpoint: str):
     """Apply each micro-batch of ``(op, key, value, ordinal)`` rows as one atomic write.
 
     Ordinals must be distinct within a micro-batch; they are shifted to begin at 0.
-    A batch number that was applied already is skipped, so a restart repeats nothing.
+    The edit that makes a batch visible holds its number, and a number that was
+    applied is skipped, so a restart repeats nothing wherever the writer stopped.
     """
     def apply(batch: DataFrame, number: int) -> None:
-        done = int(db.folder.read("stream").decode()) if db.folder.exists("stream") else -1
-        if number <= done:
-            return
-        low = batch.agg(F.min(ordinal)).first()[0]
-        if low is not None:
-            db.write_frame(batch.withColumn("_place", F.col(ordinal) - F.lit(low)), "_place")
-        db.folder.write("stream", str(number).encode(), replace=True)
+        if number > db.stream_batch:
+            low = batch.agg(F.min(ordinal)).first()[0] or 0
+            db.write_frame(batch.withColumn("_place", F.col(ordinal) - F.lit(low)), "_place", stream_batch=number)
 
     return ops.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append")

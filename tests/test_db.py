@@ -246,6 +246,180 @@ def test_stream_writes_batches(spark, tmp_path):
     assert {k: v for k, v in rows(db.live())} == {f"k{i % 7}".encode(): str(i).encode() for i in range(40)}
 
 
+# ------------------------------------------------------------------- crashes
+
+
+class Crash(Exception):
+    pass
+
+
+def crash_at(monkeypatch, target, name, turn=1):
+    """The named step raises before it takes effect, from its ``turn``-th call on."""
+    real, calls = getattr(target, name), []
+
+    def step(*args, **kwargs):
+        calls.append(1)
+        if len(calls) >= turn:
+            raise Crash(name)
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(target, name, step)
+
+
+def test_a_crash_before_the_edit_leaves_no_run_and_no_number(spark, path, monkeypatch):
+    db = Database.open(spark, path)
+    fill(db, 0, 10, "a")
+    with monkeypatch.context() as m:
+        crash_at(m, db.manifest, "append")
+        with pytest.raises(Crash):
+            db.flush()
+    assert db.folder.names("runs") == [f"{1:012d}"]
+    db = Database.open(spark, path)
+    assert db.folder.names("runs") == [] and len(rows(db.live())) == 10
+    assert db.flush().file_number > 1 and len(rows(Database.open(spark, path).live())) == 10
+
+
+@pytest.mark.parametrize("step", ["append", "remove"])
+def test_a_crash_in_a_compaction_changes_no_answer(spark, path, monkeypatch, step):
+    options = Options(l0_compaction_trigger=2)
+    db = Database.open(spark, path, options)
+    for i in range(2):
+        fill(db, 5 * i, 5 * i + 10, f"v{i}")
+        db.flush()
+    before = rows(db.live())
+    with monkeypatch.context() as m:
+        crash_at(m, db.manifest if step == "append" else db.folder, step)
+        with pytest.raises(Crash):
+            db.compact()
+    assert len(db.folder.names("runs")) == 3
+    db = Database.open(spark, path, options)
+    assert rows(db.live()) == before and len(db.folder.names("runs")) == len(db.files) == (2 if step == "append" else 1)
+    db.compact()
+    assert rows(db.live()) == before
+
+
+@pytest.mark.parametrize("step", ["append", "point_to", "clean"])
+def test_a_crash_in_a_checkpoint_changes_no_answer(spark, path, monkeypatch, step):
+    db = Database.open(spark, path)
+    for i in range(3):
+        fill(db, i, i + 2, f"v{i}")
+        db.flush()
+    with monkeypatch.context() as m:
+        crash_at(m, db.manifest, step)
+        with pytest.raises(Crash):
+            db.checkpoint()
+    db = Database.open(spark, path)
+    assert len(db.files) == 3 and rows(db.live()) == [(f"key{i:04d}".encode(), f"v{min(i, 2)}".encode()) for i in range(4)]
+    db.checkpoint()
+    assert len(db.manifest.numbers()) == 1 and db.manifest.current() == db.manifest.numbers()[0]
+    db.put("more", "1")
+    db.flush()
+    db = Database.open(spark, path)
+    assert len(db.files) == 4 and db.edits_since == 2 and db.get("more") == b"1"
+
+
+def test_checkpoints_keep_the_manifest_short(spark, path):
+    options = Options(checkpoint_edits=3, l0_stop_trigger=100, l0_slowdown_trigger=100)
+    db = Database.open(spark, path, options)
+    for i in range(8):
+        db.put(f"k{i}", "v")
+        db.flush()
+        assert len(db.manifest.numbers()) <= 3
+    assert len(Database.open(spark, path, options).files) == 8
+
+
+def test_a_stream_batch_is_applied_once_wherever_it_stopped(spark, path, monkeypatch):
+    frame = spark.createDataFrame([(0, 1, "a", "1"), (1, 1, "b", "2")], "n long, op int, key string, value string")
+    db = Database.open(spark, path)
+    with monkeypatch.context() as m:
+        crash_at(m, db.manifest, "append")
+        with pytest.raises(Crash):
+            db.write_frame(frame, "n", stream_batch=0)
+    db = Database.open(spark, path)
+    assert rows(db.live()) == [] and db.stream_batch == -1
+    db.write_frame(frame, "n", stream_batch=0)
+    db = Database.open(spark, path)
+    assert db.stream_batch == 0 and db.write_frame(frame, "n", stream_batch=0) is None
+    assert len(db.files) == 1 and db.last_sequence == 2
+    assert db.write_frame(frame.limit(0), "n", stream_batch=1) is None
+    assert Database.open(spark, path).stream_batch == 1
+
+
+def test_damage_inside_the_manifest_deletes_no_run(spark, path):
+    db = Database.open(spark, path)
+    for i in range(3):
+        db.put(f"k{i}", "v")
+        db.flush()
+    db.folder.write(db.manifest._name(2), b"00000000 {}", replace=True)
+    db = Database.open(spark, path)
+    assert len(db.files) == 1 and len(db.folder.names("runs")) == 3
+    db.put("k9", "v")
+    assert db.flush().file_number == 4
+
+
+def test_replacing_a_file_is_one_rename(spark, path):
+    db = Database.open(spark, path)
+    db.folder.write("x", b"one")
+    with pytest.raises(FileExistsError):
+        db.folder.write("x", b"two")
+    db.folder.write("x", b"two", replace=True)
+    assert db.folder.read("x") == b"two" and [n for n in db.folder.names("") if n.endswith(".tmp")] == []
+
+
+# --------------------------------------------------- shared writers and cache
+
+
+def test_threads_share_log_records(spark, path):
+    import threading
+
+    db = Database.open(spark, path)
+    writer = db.group_commit(sync_wait=0.3)
+    waits, lock = [], threading.Lock()
+
+    def work(t):
+        for i in range(5):
+            done = writer.submit(WriteBatch().put(f"t{t}i{i}", "x").put("last", f"{t}"))
+            with lock:
+                waits.append(done)
+
+    threads = [threading.Thread(target=work, args=(t,)) for t in range(6)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    bad = writer.submit(WriteBatch([(1, 5, None)]))
+    writer.close()
+    assert sorted(w.result() for w in waits) == [2 * i + 2 for i in range(30)]
+    assert isinstance(bad.exception(), Exception)
+    assert len(db.wal.numbers()) == len([g for g in writer.groups if g]) < 30 and sum(writer.groups) == 31
+    with pytest.raises(KvError):
+        writer.submit(WriteBatch().put("a", "b"))
+    writer.close()
+    assert len(rows(Database.open(spark, path).live())) == 31
+
+
+def test_runs_stay_in_the_cache_by_last_use(spark, path):
+    db = Database.open(spark, path, Options(block_cache_size=400, l0_stop_trigger=100, l0_slowdown_trigger=100, l0_compaction_trigger=3))
+    for i in range(3):
+        fill(db, 10 * i, 10 * i + 10, "v" * 3)  # 190 bytes a run
+        db.flush()
+    fill(db, 50, 90, "v" * 3)  # larger than the cache
+    db.flush()
+    a, b, c, big = sorted(db.files)
+    assert len(rows(db.live())) == 70 and big not in db.cache and a not in db.cache and b in db.cache and c in db.cache
+    assert db.get("key0015") == b"vvv" and db.cache.hits == 1 and db.get("key0005") == b"vvv"
+    assert a in db.cache and b in db.cache and c not in db.cache and db.cache.used <= 400
+    db.compact()
+    assert a not in db.cache and len(rows(db.live())) == 70
+    db.close()
+    assert db.cache.used == 0
+
+
+def test_runs_are_cut_in_files_by_rows(spark, path):
+    db = Database.open(spark, path, SMALL)
+    frame = spark.range(3500).selectExpr("id as n", "1 as op", "lpad(cast(id as string), 6, '0') as key", "'v' as value")
+    run = db.write_frame(frame, "n")
+    assert 3 <= len([n for n in db.folder.names(f"runs/{run.file_number:012d}") if n.endswith(".parquet")]) <= 4 and db.live().count() == 3500
+
+
 KEYS = st.sampled_from([b"", b"a", b"ab", b"abc", b"b", b"\xff"])
 STEPS = st.lists(
     st.one_of(
