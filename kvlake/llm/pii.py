@@ -41,6 +41,8 @@ _WORD = rf"{_SOLID}++"
 _MARK, _STAND_IN = "\x01", "\x02"
 #: Letters and digits from which an identifier counts as long.
 LONG = 7
+#: Files that hold the patterns of one round.
+_PATTERN_FILES = 32
 #: Pieces of a text whose lengths are summed up together.
 _STRIDE = 64
 _MATCHES = "array<struct<start:int,end:int,found:string,near:string,before:string,after:string>>"
@@ -193,26 +195,27 @@ def score_patterns(instances: DataFrame, scratch: Scratch, rounds: int = 3, leas
     An unknown identifier's score is then one less the product of its patterns'
     doubts, whichever kinds they are of, dealt to kinds by their confidence.
     """
-    edges = scratch.table(instances.groupBy("pattern", "found").agg(F.collect_set("kind").alias("kinds")), "edges")
+    edges = instances.groupBy("pattern", "found").agg(F.collect_set("kind").alias("kinds"))
+    edges = scratch.table(edges, "edges")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("all"))
     sown = edges.select("pattern", F.explode("kinds").alias("kind")).groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("support"))
-    sown = scratch.table(sown.join(sizes, "pattern"), "sown")
-    unknown = scratch.table(edges.where(F.size("kinds") == 0).select("pattern", "found").join(sizes, "pattern"), "unknown")
+    unknown = edges.where(F.size("kinds") == 0).select("pattern", "found")
     patterns = None
     for turn in range(rounds + 1):
         support = sown
         if turn:
-            doubt = unknown.join(patterns, "pattern").groupBy("found", "pattern").agg(F.sum("confidence").alias("c"))
-            doubt = doubt.groupBy("found").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("c"), F.lit(0.999)))))).alias("score"))
-            shares = unknown.join(patterns, "pattern").groupBy("found", "kind").agg(F.sum("confidence").alias("c"))
-            whole = shares.groupBy("found").agg(F.sum("c").alias("whole"))
-            scored = shares.join(whole, "found").join(doubt, "found").select("found", "kind", (F.col("score") * F.col("c") / F.col("whole")).alias("support"))
-            scored = scratch.table(scored, f"scored{turn}")
-            support = sown.unionByName(unknown.join(scored, "found").select("pattern", "kind", "support", "all"))
-        held = support.groupBy("pattern", "kind").agg(F.sum("support").alias("support"), F.first("all").alias("all"))
-        enough = held.groupBy("pattern").agg(F.sum("support").alias("total")).where(F.col("total") >= least_seeds).select("pattern")
-        held = held.join(enough, "pattern").select("pattern", "kind", (F.col("support") / (F.col("all") + 1)).alias("confidence"))
-        patterns = scratch.table(held, f"patterns{turn}")
+            reached = unknown.join(patterns, "pattern")
+            doubt = reached.groupBy("found", "pattern").agg(F.sum("confidence").alias("c"))
+            doubt = doubt.groupBy("found").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("c"), F.lit(0.999)))))).alias("score"), F.sum("c").alias("whole"))
+            shares = reached.groupBy("found", "kind").agg(F.sum("confidence").alias("c"))
+            scored = shares.join(doubt, "found").select("found", "kind", (F.col("score") * F.col("c") / F.col("whole")).alias("support"))
+            support = sown.unionByName(unknown.join(scored, "found").select("pattern", "kind", "support"))
+        held = support.groupBy("pattern", "kind").agg(F.sum("support").alias("support"))
+        held = held.groupBy("pattern").agg(F.sum("support").alias("total"), F.collect_list(F.struct("kind", "support")).alias("held"))
+        held = held.where(F.col("total") >= least_seeds).join(sizes, "pattern").select("pattern", "all", F.explode("held").alias("h"))
+        held = held.select("pattern", "h.kind", (F.col("h.support") / (F.col("all") + 1)).alias("confidence"))
+        # Patterns of enough support are few beside the texts: a bounded number of files holds them.
+        patterns = scratch.table(held.coalesce(_PATTERN_FILES), f"patterns{turn}")
     return patterns
 
 
@@ -243,7 +246,7 @@ def _words_in_context(rows: DataFrame, seeds: DataFrame, least_seeds: int, scrat
     seeds enough, None.
     """
     taught = seeds.where("pattern like 'w%'").select("pattern", "found").distinct().groupBy("pattern").agg(F.count("*").alias("n"))
-    taught = scratch.table(taught.where(F.col("n") >= least_seeds).select("pattern"), "taught")
+    taught = scratch.table(taught.where(F.col("n") >= least_seeds).select("pattern").coalesce(_PATTERN_FILES), "taught")
     if taught.isEmpty():
         return None
     outside = _once(matches(F.col("text"), _WORD), lambda found: _outside(found, F.col("base")))
@@ -276,16 +279,14 @@ def find_personal_data(
     rows = rows.withColumn("key", F.unhex(F.sha2("text", 256))).withColumn("base", base_spans(F.col("text")))
     more = F.when(F.col("text").rlike("[0-9]"), candidates(F.col("text"), F.col("base"))).otherwise(F.array().cast(_MATCHES))
     found = scratch.table(rows.withColumn("more", more).select("id", "key", "base", "more"), "found")
-    distinct = found.where("size(base) > 0 or size(more) > 0").select("key", "base", "more").dropDuplicates(["key"])
-    seeds = distinct.select(F.explode("base").alias("m")).select(F.explode(patterns_of(F.col("m"))).alias("pattern"), "m.found", "m.kind")
-    seeds = scratch.table(seeds, "seeds")
-    spots = distinct.select("key", F.explode("more").alias("m")).select("key", "m.start", "m.end", "m.found", F.explode(patterns_of(F.col("m"))).alias("pattern"))
+    seeds = found.select(F.explode("base").alias("m")).select(F.explode(patterns_of(F.col("m"))).alias("pattern"), "m.found", "m.kind")
+    spots = found.select("key", F.explode("more").alias("m")).select("key", "m.start", "m.end", "m.found", F.explode(patterns_of(F.col("m"))).alias("pattern"))
     words = _words_in_context(rows, seeds, least_seeds, scratch)
-    spots = scratch.table(spots if words is None else spots.unionByName(words), "spots")
+    spots = spots if words is None else spots.unionByName(words)
     others = spots.select("pattern", "found", F.lit(None).cast("string").alias("kind"))
     sure = sure_patterns(score_patterns(seeds.unionByName(others), scratch, rounds, least_seeds), least_confidence)
     named = spots.join(sure, "pattern").groupBy("key", "start", "end").agg(F.max_by("kind", F.struct("confidence", "pattern")).alias("kind"))
-    learned = scratch.table(named.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("learned")), "learned")
+    learned = named.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("learned"))
     out = found.join(learned, "key", "left").withColumn("learned", F.coalesce("learned", F.array().cast(_SPANS)))
     plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
