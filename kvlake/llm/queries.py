@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.archive_pages(_table(spark, sf_dir, "pages"), least_bytes=0)
-    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,13 +200,18 @@ def write_monolithic(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) ->
 
 
 def normalise_archives(archives: DataFrame) -> DataFrame:
-    """Rows ``(archive, data)`` in, ``(archive, data, index)`` out; one row at a time."""
+    """Rows ``(archive, data)`` in, ``(archive, data, index)`` out; one row at a time.
+
+    A null or empty archive has no records; one that is cut off or follows no
+    format raises ``WarcError``.  Repeated rows are each rewritten, a null name
+    stays, other columns are ignored, and an empty table gives an empty result.
+    """
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(*batch.columns, strict=True):
                 members, entries = [], []
-                for member, entry in normalise([data.as_py()]):
+                for member, entry in normalise([data.as_py() or b""]):
                     members.append(member)
                     entries.append(json.dumps(entry))
                 yield pa.RecordBatch.from_arrays(
@@ -217,10 +222,14 @@ def normalise_archives(archives: DataFrame) -> DataFrame:
     return archives.select("archive", "data").mapInArrow(rewrite, "archive string, data binary, index string")
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
+def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """Each record of normalised archives, reached by the sidecar's offsets.
 
-    Digests of responses are computed anew and must equal the header's.
+    Digests of responses are computed anew and must equal the header's; else
+    ``WarcError`` is raised.  ``payload`` is null for revisits, and for all
+    records without ``payloads``.  Archives without records, null ones included,
+    give no row, repeated ones give theirs again, other columns are ignored, and
+    an empty table gives an empty result.
     """
     schema = "page_id bigint, url string, record_type string, payload binary, payload_bytes bigint, payload_digest string, refers_to bigint, archive string, offset bigint, length bigint"
     arrow = pa.schema(
@@ -235,19 +244,18 @@ def read_archives(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for name, data, index in zip(*batch.columns, strict=True):
                 blob, rows = data.as_py(), []
-                for entry in map(json.loads, index.as_py().split("\n")):
+                for entry in map(json.loads, filter(None, (index.as_py() or "").split("\n"))):
                     headers, block = read_member(blob, entry["offset"], entry["length"])
                     payload = block.partition(b"\r\n\r\n")[2]
-                    digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                    kind = headers["WARC-Type"]
+                    digest, kind = headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"]
                     if kind == "response" and payload_digest(payload) != digest:
                         raise WarcError(f"payload of {headers['WARC-Record-ID']} does not have its digest")
                     url = headers.get("WARC-Target-URI")
                     rows.append(
-                        (number(headers.get("X-Page-ID")), url and url.encode().decode("unicode_escape"), kind, payload if kind == "response" else None,
+                        (number(headers.get("X-Page-ID")), url and url.encode().decode("unicode_escape"), kind, payload if payloads and kind == "response" else None,
                          int(headers["X-Payload-Length"]), digest, number(headers.get("X-Refers-To-Page-ID")), name.as_py(), entry["offset"], entry["length"])
                     )
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
     return archives.select("archive", "data", "index").mapInArrow(read, schema)
 

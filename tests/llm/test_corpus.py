@@ -374,6 +374,12 @@ def test_warc_round_trip(spark):
         whole = gzip.decompress(row["data"])
         assert whole == b"".join(gzip.decompress(row["data"][e["offset"] : e["offset"] + e["length"]]) for e in entries)
     assert warc.read_archives(warc.archive_pages(frame.limit(0))).count() == 0
+    assert warc.read_archives(archives, payloads=False).where("payload is not null").count() == 0
+    full = {r.page_id: r.payload for r in warc.read_archives(archives).where("record_type = 'response'").collect()}
+    assert bytes(full[6]) == ("ü" * 300_000).encode()
+    odd = spark.createDataFrame([("a", None), (None, bytearray(b"")), ("a", None)], "archive string, data binary")
+    again = warc.normalise_archives(odd)
+    assert again.count() == 3 and warc.read_archives(again).count() == 0
 
 
 def test_least_bytes_leaves_short_payloads_alone(spark):
