@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvlake.llm.exactdedup import flagged, key_filter
@@ -327,22 +327,28 @@ def _parity(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.uint64)
 
 
-def jaccard_links(sets: list[np.ndarray], first: int, similarity: float) -> list[tuple[int, int]]:
+def jaccard_links(sets: list[np.ndarray], first: int, similarity: float, groups: list | None = None) -> list[tuple[int, int]]:
     """Links that span the groups of sorted sets of hashes, by their Jaccard similarity.
 
     With ``first``, only pairs of one of the first sets and one of the others
-    count; with 0, all pairs.  A pair is compared if it can still join groups and
-    neither the sizes nor the parities rule it out, the most alike ones first.
+    count; with 0, all pairs.  ``groups`` names the groups that sets are in
+    already.  A pair is compared if it can still join groups and neither the sizes
+    nor the parities rule it out, the most alike ones first.
     """
     n, links = len(sets), []
     sizes = np.array([len(x) for x in sets], np.float64)
     bits = 1 << int(min(16, max(10, np.ceil(np.log2(4 * sizes.mean() + 1)))))
     parities = np.stack([_parity(x, bits) for x in sets])
     label = np.arange(n)
+    if groups is not None:
+        place = {g: i for i, g in enumerate(dict.fromkeys(groups))}
+        label = np.array([place[g] for g in groups])
     for x in range(max(first, 1), n):
         upto = first or x
         fits = np.minimum(sizes[:upto], sizes[x]) >= similarity * np.maximum(sizes[:upto], sizes[x])
         near = np.flatnonzero(fits & (label[:upto] != label[x]))
+        if not len(near):
+            continue
         unequal = np.bitwise_count(parities[near] ^ parities[x]).sum(axis=1, dtype=np.int64)
         most = (sizes[near] + sizes[x] - unequal) / 2
         able = most >= similarity * (sizes[near] + sizes[x] - most)
@@ -356,49 +362,106 @@ def jaccard_links(sets: list[np.ndarray], first: int, similarity: float) -> list
     return links
 
 
-def similar_links(crowds: DataFrame, words: int, similarity: float, block_bytes: int) -> DataFrame:
-    """Links ``(u, v)`` that span the groups of similar texts in each crowd.
+def _compared(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links ``(u, v)`` that span the groups of texts in each meeting.
 
-    ``crowds`` has ``(crowd, key, text)``.  A crowd of over ``block_bytes`` is cut
-    in blocks by key and each pair of blocks is compared in a task of its own; a
-    smaller one is one block, so each of its texts is moved once.
+    ``rows`` has ``(crowd, a, b, side, key, root, text)``: texts of side 0 and 1
+    of a meeting ``(crowd, a, b)`` are compared with each other, or all texts where
+    there is no side 1.  Texts of one ``root`` are linked already.
     """
-    prepare_workers(crowds.sparkSession)
-    large = crowds.groupBy("crowd").agg(F.sum(F.octet_length("text")).alias("total")).where(F.col("total") > block_bytes)
-    large = large.select("crowd", F.ceil(F.col("total") / block_bytes).cast("int").alias("n"))
-    cut = crowds.join(large, "crowd", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    cut = cut.withColumn("b", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j")))
-    dealt = cut.select("crowd", "b", "key", "text", F.explode(meets).alias("m"))
-    dealt = dealt.select("crowd", "m.i", "m.j", "b", "key", "text").repartition("crowd", "i", "j").sortWithinPartitions("crowd", "i", "j", "b", "key")
+    prepare_workers(rows.sparkSession)
+    dealt = rows.select("crowd", "a", "b", "side", "key", "root", "text").repartition("crowd", "a", "b").sortWithinPartitions("crowd", "a", "b", "side", "key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, sets, blocks = None, [], [], []
+        now, keys, roots, sets, sides = None, [], [], [], []
 
         def ended() -> pa.RecordBatch:
-            first = 0 if now[1] == now[2] else blocks.count(now[1])
-            lone = now[1] != now[2] and first in (0, len(sets))  # one of two blocks is empty
-            found = [] if lone else jaccard_links(sets, first, similarity)
-            return _binary_batch([(keys[a], keys[b]) for a, b in found if keys[a] != keys[b]])
+            first = sides.count(0) if sides[-1] else 0
+            lone = bool(sides[-1]) and not first or len(set(roots)) < 2
+            found = [] if lone else jaccard_links(sets, first, similarity, roots)
+            return _binary_batch([(keys[a], keys[b]) for a, b in found])
 
         for batch in batches:
             for row in zip(*batch.columns, strict=True):
-                *meeting, block, key, text = [x.as_py() for x in row]
+                *meeting, side, key, root, text = [x.as_py() for x in row]
                 if meeting != now:
                     if now:
                         yield ended()
-                    now, keys, sets, blocks = meeting, [], [], []
+                    now, keys, roots, sets, sides = meeting, [], [], [], []
                 keys.append(key)
+                roots.append(root)
                 sets.append(np.unique(shingle_hashes(text, words)))
-                blocks.append(block)
+                sides.append(side)
         if now:
             yield ended()
 
     return dealt.mapInArrow(compare, "u binary, v binary")
 
 
+#: Texts of a block's largest group that stand for it, and blocks that meet at a time.
+_STAND_FOR, _NEIGHBOURS = 16, 64
+
+
+def _with_roots(texts: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``texts`` with the ``root`` that links lead each key to."""
+    roots = connected_components(links, scratch).select(F.col("node").alias("key"), "root")
+    return texts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def similar_links(crowds: DataFrame, words: int, similarity: float, block_bytes: int) -> DataFrame:
+    """Links ``(u, v)`` that span the groups of similar texts in each crowd.
+
+    ``crowds`` has ``(crowd, key, text)``.  A crowd of over ``block_bytes`` is cut
+    in blocks by key, and no link is lost on its way:
+
+    1. All texts of a block are compared.  A crowd of one block is done.
+    2. Some texts of each block's largest group meet those of the next blocks, which
+       joins the groups of near copies that blocks have cut.
+    3. A link that is not known by then has an end outside the crowd's largest
+       group.  The texts outside, in blocks of their own, meet all blocks.
+
+    So a crowd that is one group of near copies moves each text a few times, and
+    only texts outside the largest group cost as many meetings as there are blocks.
+    """
+    scratch = Scratch(crowds.sparkSession, "similar")
+    sizes = crowds.groupBy("crowd").agg(F.sum(F.octet_length("text")).alias("total"), F.count("*").alias("texts")).where(F.col("total") > block_bytes)
+    large = scratch.table(sizes.select("crowd", F.least("texts", F.ceil(F.col("total") / block_bytes)).cast("int").alias("n")).where("n > 1"), "large")
+    cut = crowds.join(large, "crowd", "left").withColumn("b", F.pmod(F.xxhash64("key"), F.coalesce("n", F.lit(1))).cast("int"))
+    zero = F.lit(0)
+    whole = cut.select("crowd", zero.alias("a"), "b", zero.alias("side"), "key", F.col("key").alias("root"), "text")
+    found = scratch.table(_compared(whole, words, similarity), "inside")
+    if large.isEmpty():
+        return found
+    parts = cut.where("n is not null").select("crowd", "n", "b", "key", "text")
+    inside = found.join(parts.select(F.col("key").alias("v")), "v", "left_semi")
+
+    rooted = scratch.table(_with_roots(parts.select("crowd", "n", "b", "key"), inside.select("u", "v"), scratch), "rooted")
+    counts = rooted.groupBy("crowd", "b", "root").agg(F.count("*").alias("c"))
+    mains = counts.groupBy("crowd", "b").agg(F.max_by("root", F.struct("c", "root")).alias("root"))
+    order = Window.partitionBy("crowd", "b").orderBy(F.xxhash64("key"), "key")
+    stand = rooted.join(mains, ["crowd", "b", "root"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= _STAND_FOR)
+    # Neighbouring meetings share a block, so that groups reach from the first block to the last.
+    step = _NEIGHBOURS - 1
+    meets = F.array_distinct(F.array(F.floor(F.col("b") / step), F.floor(F.greatest(F.col("b") - 1, zero) / step))).cast("array<int>")
+    stand = stand.select("crowd", zero.alias("a"), F.explode(meets).alias("b"), zero.alias("side"), "key", "root")
+    between = scratch.table(_compared(stand.join(parts.select("key", "text"), "key"), words, similarity), "between")
+
+    joined = inside.select("u", "v").unionByName(between)
+    rooted = scratch.table(_with_roots(parts.select("crowd", "n", "b", "key"), joined, Scratch(crowds.sparkSession, "similar")), "joined")
+    counts = rooted.groupBy("crowd", "root").agg(F.count("*").alias("c"))
+    mains = counts.groupBy("crowd").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+    placed = scratch.table(rooted.join(mains, "crowd").withColumn("outside", F.col("root") != F.col("main")).drop("main").join(parts.select("key", "text"), "key"), "placed")
+    spread = placed.where("outside").groupBy("crowd").agg(F.least(F.count("*"), F.ceil(F.sum(F.octet_length("text")) / block_bytes)).cast("int").alias("m"))
+    placed = placed.join(scratch.table(spread, "spread"), "crowd")
+    own = F.pmod(F.xxhash64(F.lit(1), "key"), F.col("m")).cast("int")
+    outer = placed.where("outside").select("crowd", own.alias("a"), F.explode(F.sequence(zero, F.col("n") - 1)).alias("b"), zero.alias("side"), "key", "root", "text")
+    all_ = placed.select("crowd", F.explode(F.sequence(zero, F.col("m") - 1)).alias("a"), "b", F.lit(1).alias("side"), "key", "root", "text")
+    across = scratch.table(_compared(outer.unionByName(all_), words, similarity), "across")
+    return found.unionByName(between).unionByName(across)
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block_bytes: int = 16 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block_bytes: int = 4 << 20
 ) -> DataFrame:
     """``(key, keep_key, keep_id)`` of every text that is not the one of its group that stays.
 

@@ -171,3 +171,42 @@ def test_columns_named_like_the_working_ones_stay(spark, odd_docs):
         got = stage(odd).collect()
         assert set(got[0].asDict()) == set(odd.columns) and {r["key"] for r in got} <= {"z", None} and {r["_key"] for r in got} <= {"y", None}
         assert {r["flag"] for r in got} <= {"x", None} and {r["raw"] for r in got} == {"r"}
+
+
+@pytest.mark.parametrize("block_bytes", [1500, 9000])
+def test_crowds_of_many_blocks_lose_no_link(spark, block_bytes, monkeypatch):
+    import random
+
+    monkeypatch.setattr(simhash, "_NEIGHBOURS", 5)
+    monkeypatch.setattr(simhash, "_STAND_FOR", 2)
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(400)}" for _ in range(60)]
+
+    def copy(words, k):
+        words = list(words)
+        for _ in range(k):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+        return words
+
+    bodies = [copy(base, rng.choice([0, 1, 1, 2, 3])) for _ in range(120)]  # one mass
+    chain = copy(base, 4)
+    for _ in range(40):  # drifts away step by step
+        chain = copy(chain, 1)
+        bodies.append(chain)
+    for _ in range(6):  # small groups of their own
+        other = copy(base, 12)
+        bodies += [other, copy(other, 1), copy(other, 2)]
+    texts = {i: " ".join(b) for i, b in enumerate(bodies)}
+    keys = {i: i.to_bytes(2, "big") for i in texts}
+    frame = spark.createDataFrame([(b"c", bytearray(keys[i]), t) for i, t in texts.items()] + [(b"d", bytearray(b"zz1"), "a b c"), (b"d", bytearray(b"zz2"), "a b c")], "crowd binary, key binary, text string")
+    root, parent = groups(texts, 5, 0.8), {i: i for i in texts}
+    assert 5 < len(set(root.values())) < len(texts) - 100
+    found = [(bytes(r.u), bytes(r.v)) for r in simhash.similar_links(frame, 5, 0.8, block_bytes).collect()]
+    assert [f for f in found if f[0].startswith(b"zz")] == [(b"zz1", b"zz2")]
+    for u, v in found:
+        if not u.startswith(b"zz"):
+            a, b = int.from_bytes(u, "big"), int.from_bytes(v, "big")
+            assert root[a] == root[b]
+            low, high = sorted((parent[a], parent[b]))
+            parent = {i: low if p == high else p for i, p in parent.items()}
+    assert parent == root
