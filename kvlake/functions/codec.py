@@ -47,6 +47,18 @@ def internal_key(key: Column, sequence: Column, value_type: Column) -> Column:
     return F.concat(key.cast("binary"), F.unhex(F.lpad(F.hex(F.bitwise_not(sequence)), 16, "0")), F.unhex(F.lpad(F.hex(value_type), 2, "0")))
 
 
+def varint(value: Column) -> Column:
+    """A long as a variable-length integer in hex; negative ones as their 64 unsigned bits."""
+    bits = F.length(F.bin(value))
+    last = F.floor((bits - 1) / 7).cast("int")
+
+    def byte(i: Column) -> Column:
+        low = F.call_function("shiftrightunsigned", value, i * 7).bitwiseAND(F.lit(127))
+        return F.lpad(F.hex(F.when(i < last, low.bitwiseOR(F.lit(128))).otherwise(low)), 2, "0")
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), last), byte), "")
+
+
 def shared_prefix(key: Column, before: Column) -> Column:
     """Length of the prefix that two string keys share."""
     steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(key), F.length(before))))

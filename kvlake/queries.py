@@ -333,6 +333,12 @@ def kv_pick_compaction(spark, sf_dir):
     return compaction.pick_from_files(event_runs(spark, sf_dir), _SMALL)
 
 
+@query("""SELECT max(CASE WHEN level = 0 THEN files >= 4 ELSE level < 6 AND bytes > 20000 * power(10, level - 1) END) AS due
+FROM (SELECT level, count(*) AS files, sum(file_size) AS bytes FROM runs GROUP BY level)""")
+def kv_needs_compaction(spark, sf_dir):
+    return compaction.pick_from_files(event_runs(spark, sf_dir), _SMALL).agg((F.count("*") > 0).alias("due"))
+
+
 @query("""SELECT l0_runs, CASE WHEN l0_runs >= 12 THEN 'STOP' WHEN l0_runs >= 8 THEN 'SLOW' ELSE 'OK' END AS status
 FROM (SELECT count(*) AS l0_runs FROM runs WHERE level = 0)""")
 def kv_write_stall(spark, sf_dir):
@@ -391,6 +397,14 @@ def kv_key_codec(spark, sf_dir):
     return event_log(spark, sf_dir).select("key", "sequence", F.hex(encoded).alias("encoded"))
 
 
+@query("""SELECT sequence, list_aggregate(list_transform(range(CAST((length(bin(n)) + 6) // 7 AS BIGINT)), lambda i:
+    printf('%02X', CAST((n >> CAST(7 * i AS BIGINT) & 127) + CASE WHEN i + 1 < (length(bin(n)) + 6) // 7 THEN 128 ELSE 0 END AS BIGINT))), 'string_agg', '') AS encoded
+FROM (SELECT sequence, CAST(sequence * sequence * 7919 AS BIGINT) AS n FROM log)""")
+def kv_varint(spark, sf_dir):
+    log = event_log(spark, sf_dir).select("sequence", (F.col("sequence") * F.col("sequence") * 7919).alias("n"))
+    return log.select("sequence", codec.varint(F.col("n")).alias("encoded"))
+
+
 # CRC-32 bit by bit: the register is moved by each bit of the text, lowest first.
 @query("""SELECT key, sequence, CAST(xor(list_reduce(
     list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(8 * strlen(value)), lambda i: CAST(ascii(substr(value, CAST(i // 8 + 1 AS BIGINT), 1)) AS BIGINT) >> CAST(i % 8 AS BIGINT) & 1)),
@@ -512,3 +526,23 @@ def kv_table_group_commit(spark, sf_dir):
     assert [w.result() for w in waits] == [2 * i + 2 for i in range(len(waits))]
     db.flush()
     return _text(Database.open(spark, db.folder.path).live())
+
+
+@query("SELECT 'n' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS key, n_name AS value FROM nation WHERE n_nationkey < 10")
+def kv_table_torn_log(spark, sf_dir):
+    """A damaged record cuts the log: what was logged before it is there, the rest is not."""
+    db = Database.open(spark, Workspace(spark, "table").path)
+    for r in _read(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", "n_name").collect():  # 25 rows at any scale
+        db.put(f"n{r.n_nationkey:03d}", r.n_name)
+    db.folder.write(f"wal/{11:012d}.rec", b"00000000 torn", replace=True)
+    return _text(Database.open(spark, db.folder.path).live())
+
+
+@query("SELECT CAST(0 AS INTEGER) AS level, count(*) AS runs, count(*) AS entries, min(n_nationkey) + 1 AS min_seq, max(n_nationkey) + 1 AS max_seq FROM nation")
+def kv_table_flush_trigger(spark, sf_dir):
+    """A buffer of one byte is full after each put: a run each, sequences without gaps."""
+    db = Database.open(spark, Workspace(spark, "table").path, Options(memtable_size=1, l0_slowdown_trigger=100, l0_stop_trigger=100))
+    for r in _read(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", "n_name").collect():  # 25 rows at any scale
+        db.put(f"n{r.n_nationkey:03d}", r.n_name)
+    runs = Database.open(spark, db.folder.path).files_frame()
+    return runs.groupBy("level").agg(F.count("*").alias("runs"), F.sum("entry_count").alias("entries"), F.min("min_seq").alias("min_seq"), F.max("max_seq").alias("max_seq"))

@@ -3,6 +3,7 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kvlake.db import Database
 from kvlake.functions import codec
@@ -218,6 +219,12 @@ def test_codecs():
     assert codec.decode_varint(b"\x80") is None and codec.decode_varint(b"\xff" * 10) is None
 
 
+def test_varints_of_a_column_are_those_of_python(spark):
+    values = [0, 1, 127, 128, 300, 16383, 16384, 2**31, 2**62, 2**63 - 1, -1]
+    rows = spark.createDataFrame([(v,) for v in values], "n long").select("n", codec.varint(F.col("n")).alias("v")).collect()
+    assert all(bytes.fromhex(r.v) == codec.encode_varint(r.n % 2**64) for r in rows)
+
+
 def test_stream_fold_equals_batch(spark, tmp_path):
     from kvlake.operators.resolve import live
     from kvlake.queries import event_log
