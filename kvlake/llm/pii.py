@@ -258,11 +258,11 @@ def _words_in_context(rows: DataFrame, seeds: DataFrame, least_seeds: int, scrat
 def find_personal_data(
     docs: DataFrame, least_confidence: float = 0.6, least_seeds: int = 3, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per input row: id, n_email .. n_phone, base_sha256, spans, n_learned, n_spans.
+    """One row per input row: id, n_email .. n_phone, base_sha256, spans, n_base, n_learned, n_spans.
 
     ``n_email`` .. ``n_phone`` and ``base_sha256`` cover the base spans; ``spans``
     has these and the spans that learned contexts add, never overlapping a base
-    span, and ``n_spans`` counts both.  A learned span has the kind its pattern
+    span, and ``n_spans`` counts both, ``n_base`` and ``n_learned``.  A learned span has the kind its pattern
     stands for, ``other`` where that is no single one; ``other`` comes after the
     kinds.  Candidates are words with a digit and groups of digits a blank apart;
     after contexts that seeds without digits teach, every word.  A pattern needs
@@ -296,5 +296,5 @@ def find_personal_data(
     return out.select(
         F.col("id").alias(id_col), *map(count, KINDS), F.sha2(_joined(plain, KINDS), 256).alias("base_sha256"),
         _joined(F.concat(plain, F.col("learned")), (*KINDS, OTHER)).alias("spans"),
-        F.size("learned").cast("long").alias("n_learned"), (F.size("base") + F.size("learned")).cast("long").alias("n_spans"),
+        F.size("base").cast("long").alias("n_base"), F.size("learned").cast("long").alias("n_learned"), (F.size("base") + F.size("learned")).cast("long").alias("n_spans"),
     )
