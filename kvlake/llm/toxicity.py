@@ -191,7 +191,7 @@ def fit_labels(
     learn = F.crc32(F.col("id").cast("string")) % modulus != remainder
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
-    marked = marked.where(learn).groupBy("id").agg(F.max("y").alias("y"))
+    marked = marked.where(learn).groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
     picked = bounded_sample(marked, "y", per_class, scratch)
     found = scratch.table(rows.join(F.broadcast(picked), "id").select("id", F.coalesce("text", F.lit("")).alias("text"), "y").distinct(), "texts")
     sizes = found.select("id", "y", F.xxhash64(F.lit(5), "id").alias("h"), F.octet_length("text").alias("size")).collect()

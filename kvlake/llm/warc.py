@@ -21,7 +21,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.llm.storage import Scratch, prepare_workers
@@ -150,6 +150,15 @@ def normalise_file(source: str, target: str, index: str, chunk: int = 1 << 20) -
     return count
 
 
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """Rows ``(archive, data)`` of files in any store that Spark reads, for ``normalise_archives``.
+
+    ``archive`` is the file's path; a file of over 2 GB is more than a row can
+    hold and raises.  Empty files give no row; a path without files raises.
+    """
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), F.col("content").alias("data"))
+
+
 def read_member(data: bytes, offset: int, length: int) -> tuple[dict[str, str], bytes]:
     """Headers and block of one record, reached by its index entry alone."""
     found = list(read_records([gzip.decompress(data[offset : offset + length])]))

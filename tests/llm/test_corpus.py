@@ -388,6 +388,17 @@ def test_least_bytes_leaves_short_payloads_alone(spark):
     assert kinds == {1: "response", 2: "response", 3: "revisit", 4: "response"}
 
 
+def test_files_are_normalised_by_tasks(spark, tmp_path):
+    for k in range(3):
+        records = [warc.page_record(10 * k + i, "http://x", b"p%d" % i * 50, "response", None) for i in range(4)]
+        (tmp_path / f"{k}.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    archives = warc.normalise_archives(warc.archive_files(spark, f"file://{tmp_path}/*.warc.gz"))
+    got = warc.read_archives(archives).collect()
+    assert sorted(r.page_id for r in got) == sorted(10 * k + i for k in range(3) for i in range(4)) and archives.count() == 3
+    assert {r.archive.rsplit("/", 1)[1] for r in got} == {"0.warc.gz", "1.warc.gz", "2.warc.gz"}
+
+
 def test_normalise_file_and_broken_archives(tmp_path):
     records = [warc.page_record(i, "http://x", b"p%d" % i * 50, "response", None) for i in range(20)]
     (tmp_path / "in.gz").write_bytes(gzip.compress(b"".join(records)))
