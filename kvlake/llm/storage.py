@@ -69,7 +69,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 _shipped: set[str] = set()
 
 
-def prepare_workers(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+#: Rows and bytes of one Arrow batch; the same for all operators, as a session has one
+#: setting and a frame that is not run yet would take another operator's.
+_BATCH_ROWS, _BATCH_BYTES = 1000, 8 << 20
+
+
+def prepare_workers(spark: SparkSession) -> None:
     """Give Python workers this package, and bound one Arrow batch by rows and bytes."""
     context = spark.sparkContext
     if context.applicationId not in _shipped:
@@ -80,5 +85,5 @@ def prepare_workers(spark: SparkSession, rows: int = 2000, size: int = 8 << 20)
                 out.write(file, str(file.relative_to(package.parent)))
         context.addPyFile(str(archive))
         _shipped.add(context.applicationId)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))

@@ -279,7 +279,7 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = A
     are all rows where every page_id is null.  Other columns are ignored; an
     empty table gives no archive.
     """
-    prepare_workers(pages.sparkSession, rows=500)
+    prepare_workers(pages.sparkSession)
     scratch = Scratch(pages.sparkSession, "warc")
     raw = {"compression": "uncompressed"}
     monolithic = scratch.table(write_monolithic(mark_revisits(pages, least_bytes, scratch), archive_bytes), "monolithic", **raw)
