@@ -1,10 +1,10 @@
 """Toxicity by bags of subwords averaged into a linear softmax.
 
-A passage is the mean of the embeddings of its byte n-grams, and a softmax layer
-over it is trained jointly with the embeddings in numpy, so an unseen misspelling
-shares the vectors of the n-grams it keeps.  One toxic passage makes a document
-toxic: a document's score is that of its most toxic passage, and training follows
-the passage that scores highest now.
+A text is the mean of the embeddings of all its byte n-grams, repeats included,
+and a softmax layer over it is trained jointly with the embeddings in numpy, so an
+unseen misspelling shares the vectors of the n-grams it keeps.  Embeddings are
+shrunk as whole rows while they are trained, so all but some hundreds of n-grams
+end at zero: a few telling words then show in the mean of a long text too.
 """
 
 from __future__ import annotations
@@ -22,63 +22,49 @@ from kvlake.llm.langid import bounded_sample
 from kvlake.llm.ngrams import hashed, plain
 from kvlake.llm.storage import Scratch, prepare_workers, unused
 
-BITS, ORDERS, WIDTH = 16, (3, 4, 5), 24
+BITS, ORDERS = 18, (3, 4, 5)
 #: Rejecting a clean text weighs as much as passing so many toxic ones.
 _CLEAN_WEIGHT = 3.0
+#: The softmax layer's input is the mean times this; shares of n-grams are small numbers.
+_SCALE = 30.0
+#: Shrinkage of an embedding, as a share of the largest first gradient of one.
+_SHRINK = 0.2
+#: Weight of the text without n-grams among the clean ones, both classes weighing 0.5.
+_EMPTY_WEIGHT = 0.05
 #: Characters that are scored together.
 _TOGETHER = 1 << 19
 
 
-@dataclass
-class Passages:
-    """N-gram buckets at each byte of several texts, and where texts begin."""
-
-    buckets: np.ndarray
-    begin: np.ndarray
-    end: np.ndarray
-    text: np.ndarray
-    stop: np.ndarray
-    width: np.ndarray
-
-    @classmethod
-    def groups(cls, texts: Sequence[str | None]) -> Iterator[Passages]:
-        """Whole texts in groups of about ``_TOGETHER`` characters, to bound memory."""
-        part, size = [], 0
-        for text in texts:
-            part.append(text)
-            size += len(text or "")
-            if size >= _TOGETHER:
-                yield cls.of(part)
-                part, size = [], 0
-        if part:
-            yield cls.of(part)
-
-    @classmethod
-    def of(cls, texts: Sequence[str | None]) -> Passages:
-        pad = max(ORDERS) - 1  # zeros, so that no n-gram reaches into the next text; windows end before them
-        parts = [plain(t) + bytes(pad) for t in texts]
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        end = np.cumsum(size)
-        data = np.frombuffer(b"".join(parts), np.uint8)
-        text = np.repeat(np.arange(len(end), dtype=np.int32), size)
-        width = np.minimum(WIDTH, size - pad)
-        stop = (np.arange(len(data)) + width[text]).astype(np.int32)
-        stop[stop > (end - pad)[text]] = -1  # no window begins here
-        return cls(np.stack([hashed(data, n, BITS).astype(np.uint16) for n in ORDERS]), end - size, end, text, stop, width)
-
-    def best(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text: its best window's first byte, bytes, and mean value.
-
-        ``value`` has one number per bucket, so a window's logit is a mean of
-        them.  Windows are WIDTH bytes, or the whole text where it is shorter.
-        """
-        total = np.zeros(len(self.text) + 1)
-        np.cumsum(sum(value.take(row) for row in self.buckets), out=total[1:])
-        mean = np.where(self.stop < 0, -np.inf, total[self.stop] - total[:-1])
-        top = np.maximum.reduceat(mean, self.begin)
-        hit = np.flatnonzero(mean == top[self.text])
-        first = hit[np.searchsorted(self.text[hit], np.arange(len(top)))]
-        return first, self.width, top / (self.width * len(ORDERS))
+def bags(texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of all n-grams of several whole texts in a row, and how many each text has.
+
+    Texts come in groups of about ``_TOGETHER`` characters, to bound memory.
+    """
+    part, size = [], 0
+    for i, text in enumerate(texts):
+        part.append(plain(text))
+        size += len(part[-1])
+        if size >= _TOGETHER or i + 1 == len(texts):
+            yield _buckets(part)
+            part, size = [], 0
+
+
+def _buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    left = np.repeat(np.cumsum(size), size) - np.arange(size.sum())  # bytes to the text's end
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    inside = np.stack([left >= n for n in ORDERS], axis=1)
+    found = np.stack([hashed(data, n, BITS).astype(np.int32) for n in ORDERS], axis=1)[inside]
+    return found, sum(np.maximum(size - n + 1, 0) for n in ORDERS)
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of ``counts`` values each, in a row; of none, zero."""
+    out = np.zeros(len(counts))
+    some = counts > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some])
+    return out
 
 
 @dataclass
@@ -89,66 +75,81 @@ class Model:
     bias: float
 
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:
-        logit = np.concatenate([np.zeros(0), *(p.best(self.value)[2] for p in Passages.groups(texts))]) + self.bias
-        return 1.0 / (1.0 + np.exp(-np.clip(logit, -60, 60)))
+        """The softmax of each text's mean; its sum runs over its own n-grams only."""
+        parts = [_sums(self.value.take(found), counts) / np.maximum(counts, 1) for found, counts in bags(texts)]
+        return 1.0 / (1.0 + np.exp(-np.clip(np.concatenate([np.zeros(0), *parts]) + self.bias, -60, 60)))
 
 
-def train(texts: Sequence[str], labels: Sequence[int], size: int = 8, epochs: int = 50, seed: int = 11) -> Model:
-    """Embeddings and softmax by full-batch Adam on each text's best passage.
+def _shares(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets that three texts hold at least, and of each text: their places, their shares, their number.
 
-    Classes weigh alike.  N-grams that fewer than three texts hold stay zero: a
-    rare n-gram says more about one text than about its class.  The bias is then
-    set where the training texts part best, a clean one weighing as ``_CLEAN_WEIGHT``.
+    What fewer texts hold says more about one text than about its class.
+    """
+    place, share, counts = [], [], []
+    for found, sizes in bags(texts):
+        for one in np.split(found, np.cumsum(sizes)[:-1]):
+            bucket, times = np.unique(one, return_counts=True)
+            place.append(bucket)
+            share.append((times / max(1, len(one))).astype(np.float32))
+            counts.append(len(bucket))
+    place, share = np.concatenate(place), np.concatenate(share)
+    common = np.bincount(place, minlength=1 << BITS) >= 3
+    kept = common[place]
+    counts = _sums(kept.astype(np.int64), np.array(counts)).astype(np.int64)
+    names = np.flatnonzero(common)
+    return names, np.searchsorted(names, place[kept]).astype(np.int32), share[kept], counts
+
+
+def train(texts: Sequence[str], labels: Sequence[int], size: int = 8, epochs: int = 400, seed: int = 11, shrink: float = _SHRINK) -> Model:
+    """Embeddings and softmax by full-batch gradient steps on the means of whole texts.
+
+    Classes weigh alike, and the text without n-grams counts as a clean one.  Each
+    step is scaled by the largest gradient so far and then shrinks every embedding
+    by the same length.  The bias is set where the training texts part best, a clean
+    one weighing as ``_CLEAN_WEIGHT``, and above the text without n-grams.  Where
+    shrinking leaves no embedding, half of it is tried.
     """
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(1 << BITS, np.float32), float(20.0 * (y.mean() - 0.5)) if len(y) else -20.0)
-    rng = np.random.default_rng(seed)
-    data = list(Passages.groups(texts))
-    # How many texts hold a bucket, and how much more often those of label 1 do.
-    held, marked, at = np.zeros((len(ORDERS), 1 << BITS)), np.zeros((len(ORDERS), 1 << BITS)), 0
-    for part in data:
-        for i, row in enumerate(part.buckets):
-            pairs = np.unique(part.text.astype(np.int64) << BITS | row)
-            bucket = pairs & ((1 << BITS) - 1)
-            held[i] += np.bincount(bucket, minlength=1 << BITS)
-            marked[i] += np.bincount(bucket[y[at + (pairs >> BITS)] > 0], minlength=1 << BITS)
-        at += len(part.end)
-    lean = np.log((marked / y.sum() + 4 / len(y)) / ((held - marked) / (len(y) - y.sum()) + 4 / len(y))).sum(axis=0)
-    held = held.sum(axis=0)
-    common = held >= 3
-    embed = rng.normal(0, 0.05, (1 << BITS, size)) * common[:, None]
-    soft, bias = rng.normal(0, 0.5, (2, size)), np.zeros(2)
+        return Model(np.zeros(1 << BITS), float(20.0 * (y.mean() - 0.5)) if len(y) else -20.0)
+    names, place, share, counts = _shares(texts)
+    share *= np.float32(_SCALE)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    params = [embed, soft, bias]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    embed += (lean * common)[:, None] * (soft[1] - soft[0])[None, :] / max(1e-9, float(((soft[1] - soft[0]) ** 2).sum()))
+    rng = np.random.default_rng(seed)
+    embed, soft, bias = np.zeros((len(names), size)), rng.normal(0, 0.5, (2, size)), np.zeros(2)
+    params, penalty = [embed, soft, bias], 0.0
+    moments = [(np.zeros_like(p), [0.0]) for p in params]
+
+    def logits() -> np.ndarray:
+        value = (embed @ (soft[1] - soft[0])).astype(np.float32)
+        return _sums(share * value[place], counts)
+
+    def error(logit: np.ndarray | float, truth: np.ndarray | float) -> np.ndarray | float:
+        return 1.0 / (1.0 + np.exp(-np.clip(logit + bias[1] - bias[0], -60, 60))) - truth
+
     for turn in range(1, epochs + 1):
-        tilt = soft[1] - soft[0]
-        value = (embed @ tilt).astype(np.float32)
-        tops = [part.best(value) for part in data]
-        p = 1.0 / (1.0 + np.exp(-np.clip(np.concatenate([top[2] for top in tops]) + bias[1] - bias[0], -60, 60)))
-        err = (p - y) * weight
-        pull, at, steps = np.zeros(1 << BITS), 0, np.arange(WIDTH)
-        for part, (first, width, _) in zip(data, tops, strict=True):
-            inside = steps[None, :] < width[:, None]
-            spots = np.minimum(first[:, None] + steps[None, :], part.buckets.shape[1] - 1)
-            share = np.where(inside, (err[at : at + len(first)] / (width * len(ORDERS)))[:, None], 0.0).ravel()
-            for row in part.buckets:
-                pull += np.bincount(row[spots].ravel(), share, minlength=1 << BITS)
-            at += len(first)
-        pull *= common
+        err = error(logits(), y) * weight
+        tilt, lean = soft[1] - soft[0], err.sum() + error(0.0, 0.0) * _EMPTY_WEIGHT
+        pull = np.bincount(place, share * np.repeat(err.astype(np.float32), counts), minlength=len(names))
         mean_pull = pull @ embed
-        grads = [pull[:, None] * tilt[None, :] + 1e-7 * embed, np.stack([-mean_pull, mean_pull]) + 1e-4 * soft, np.array([-err.sum(), err.sum()])]
+        grads = [pull[:, None] * tilt, np.stack([-mean_pull, mean_pull]) + 1e-4 * soft, np.array([-lean, lean])]
+        penalty = penalty or shrink * float(np.abs(pull).max(initial=0.0) * np.sqrt(tilt @ tilt))
         for param, grad, (m, v) in zip(params, grads, moments, strict=True):
             m += 0.1 * (grad - m)
-            v += 0.001 * (grad * grad - v)
-            param -= 0.03 * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-8)
-        embed *= common[:, None]
-    value = (embed @ (soft[1] - soft[0])).astype(np.float32)
-    logit = np.concatenate([part.best(value)[2] for part in data])
-    order = np.argsort(logit)
-    gain = np.concatenate([[0.0], np.cumsum(np.where(y[order] > 0, -weight[order], _CLEAN_WEIGHT * weight[order]))])
+            v[0] += 0.001 * (float(np.square(grad).max(initial=0.0)) - v[0])
+            step = 0.05 / (np.sqrt(v[0] / (1 - 0.999**turn)) + 1e-8)
+            param -= step * m / (1 - 0.9**turn)
+            if param is embed:
+                norm = np.sqrt(np.square(embed).sum(axis=1))
+                embed *= np.maximum(0.0, 1.0 - step * penalty / np.maximum(norm, 1e-12))[:, None]
+    if shrink > 1e-4 and not embed.any():
+        return train(texts, labels, size, epochs, seed, shrink / 2)
+    value = np.zeros(1 << BITS)
+    value[names] = (embed @ (soft[1] - soft[0])).astype(np.float32) * _SCALE
+    # The text without n-grams has logit 0; its loss is more than all toxic texts can win.
+    logit, lost = np.append(logits(), 0.0), np.append(np.where(y > 0, -weight, _CLEAN_WEIGHT * weight), 1.0)
+    order = np.argsort(logit, kind="stable")
+    gain = np.concatenate([[0.0], np.cumsum(lost[order])])
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     edge = np.concatenate([[logit[order[0]] - 1], (logit[order][1:] + logit[order][:-1]) / 2, [logit[order[-1]] + 1]])
     return Model(value, -float(edge[best[len(best) // 2]]))
@@ -163,7 +164,7 @@ def score_toxicity(
     label_col: str = "toxic",
     remainder: int = 0,
     modulus: int = 5,
-    class_bytes: int = 16 << 20,
+    class_bytes: int = 4 << 20,
 ) -> DataFrame:
     """One row per input row: id, held_out, score, predicted.
 
@@ -225,7 +226,7 @@ def _with_scores(rows: DataFrame, model: Model, text_col: str, name: str) -> Dat
 
 
 def clean_rows(
-    docs: DataFrame, labels: DataFrame, per_class: int = 1200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", class_bytes: int = 16 << 20
+    docs: DataFrame, labels: DataFrame, per_class: int = 1200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", class_bytes: int = 4 << 20
 ) -> DataFrame:
     """The rows of ``docs`` that score below 0.5, with all their columns and no other.
 

@@ -76,25 +76,44 @@ def test_bounds_of_learning_rows_hold(spark):
 # ---------------------------------------------------------------- toxicity
 
 
-def test_window_scores_match_brute_force():
-    texts = ["you are all fine people of this town", "idiot", "", None, "a very long and calm text " * 9 + "with scum inside of it " + "and more calm words " * 5]
+def test_scores_are_means_over_all_subwords_of_whole_texts(monkeypatch):
+    texts = ["you are all fine people of this town", "idiot", "", None, "a", "7 8 9", "a very long and calm text " * 90 + "with scum inside of it " + "and more calm words " * 50]
     rng = np.random.default_rng(1)
-    model = toxicity.Model(rng.normal(0, 1, 1 << toxicity.BITS).astype(np.float32), -0.3)
-    for text, score in zip(texts, model.scores(texts)):
+    model = toxicity.Model(rng.normal(0, 1, 1 << toxicity.BITS), -0.3)
+    together = model.scores(texts)
+    for text, score in zip(texts, together):
         data = ngrams.plain(text)
-        value = [sum(float(model.value[grams_at(data, i, n)]) for n in toxicity.ORDERS) for i in range(len(data))]
-        width = min(toxicity.WIDTH, len(data))
-        best = max(sum(value[i : i + width]) / (width * len(toxicity.ORDERS)) for i in range(len(data) - width + 1))
-        assert score == pytest.approx(1 / (1 + math.exp(-(best - 0.3))), abs=1e-5)
-
-
-def grams_at(data, at, order):
-    h = order
-    for j in range(order):
-        byte = data[at + j] if at + j < len(data) else 0
-        h = ((h ^ byte) * int(ngrams._STEP[j])) & 0xFFFFFFFF
-        h ^= h >> 15
-    return h >> (32 - toxicity.BITS)
+        value = [float(model.value[b]) for n in toxicity.ORDERS for b in grams(text, n, toxicity.BITS)[: max(0, len(data) - n + 1)]]
+        mean = sum(value) / len(value) if value else 0.0
+        assert score == pytest.approx(1 / (1 + math.exp(0.3 - mean)), abs=1e-9)
+    monkeypatch.setattr(toxicity, "_TOGETHER", 10)
+    assert model.scores(texts).tolist() == together.tolist() and model.scores([]).tolist() == []
+
+
+def test_shares_of_common_subwords_match_counts():
+    texts = ["the cat sat on the mat", "the mat", "", "on the mat the cat", "cats"]
+    own = [Counter(b for n in toxicity.ORDERS for b in grams(t, n, toxicity.BITS)[: max(0, len(ngrams.plain(t)) - n + 1)]) for t in texts]
+    held = Counter(b for c in own for b in c)
+    names, place, share, counts = toxicity._shares(texts)
+    assert set(names.tolist()) == {b for b, n in held.items() if n >= 3} and counts.sum() == len(place) == len(share)
+    for c, p, x in zip(own, np.split(place, np.cumsum(counts)[:-1]), np.split(share, np.cumsum(counts)[:-1])):
+        assert {int(names[i]): pytest.approx(float(v)) for i, v in zip(p, x)} == {b: n / sum(c.values()) for b, n in c.items() if held[b] >= 3}
+
+
+def test_training_learns_telling_subwords_and_shares_them_with_misspellings():
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghklmnoprstu"), rng.integers(3, 8))) for _ in range(150)]
+    clean = [" ".join(rng.choice(words, rng.integers(5, 120))) for _ in range(240)]
+    bad = [f"{t} wretched{' wretched' * (len(t) // 100)} {t[::-1]}" for t in clean[:120]]
+    texts, labels = [*bad, *clean[120:]], [1] * len(bad) + [0] * 120
+    model = toxicity.train(texts, labels)
+    assert all(model.scores(["wretched", "so wretched you are", "wretchedly", "wretchad", "wretcheed"]) >= 0.5)
+    assert all(model.scores(["", None, "12", "friendly", *clean[:1]]) < 0.5)
+    again = toxicity.train(texts, labels, epochs=60, shrink=40.0)  # leaves no embedding, so it is halved
+    assert again.value.any() and again.scores([""])[0] < 0.5
+    for only in (0, 1):
+        assert (toxicity.train(["a text", "b"], [only, only]).scores(["x", ""]) >= 0.5).tolist() == [bool(only)] * 2
+    assert toxicity.train([], []).scores(["x"])[0] < 0.5
 
 
 def test_held_out_labels_are_told_apart(spark):
@@ -102,10 +121,10 @@ def test_held_out_labels_are_told_apart(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
     got = toxicity.score_toxicity(docs, labels).where("held_out").join(labels, "doc_id").collect()
     bad, clean = [r for r in got if r.toxic == 1], [r for r in got if r.toxic == 0]
-    assert sum(r.predicted for r in bad) / len(bad) > 0.7 and sum(r.predicted for r in clean) / len(clean) < 0.03
+    assert sum(r.predicted for r in bad) / len(bad) > 0.85 and sum(r.predicted for r in clean) / len(clean) < 0.03
     order = sorted(got, key=lambda r: r.score)
     ranks = sum(i + 1 for i, r in enumerate(order) if r.toxic == 1)
-    assert (ranks - len(bad) * (len(bad) + 1) / 2) / (len(bad) * len(clean)) > 0.85  # area under the curve
+    assert (ranks - len(bad) * (len(bad) + 1) / 2) / (len(bad) * len(clean)) > 0.93  # area under the curve
 
 
 # ------------------------------------------------------------------- media
