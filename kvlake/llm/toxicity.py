@@ -80,24 +80,26 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(np.concatenate([np.zeros(0), *parts]) + self.bias, -60, 60)))
 
 
-def _shares(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets that three texts hold at least, and of each text: their places, their shares, their number.
+def _shares(texts: Sequence[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Buckets that three texts hold at least, and of each group of texts: their places, shares, and numbers by text.
 
     What fewer texts hold says more about one text than about its class.
     """
-    place, share, counts = [], [], []
+    blocks, held = [], np.zeros(1 << BITS, np.int64)
     for found, sizes in bags(texts):
+        place, share = [], []
         for one in np.split(found, np.cumsum(sizes)[:-1]):
             bucket, times = np.unique(one, return_counts=True)
             place.append(bucket)
             share.append((times / max(1, len(one))).astype(np.float32))
-            counts.append(len(bucket))
-    place, share = np.concatenate(place), np.concatenate(share)
-    common = np.bincount(place, minlength=1 << BITS) >= 3
-    kept = common[place]
-    counts = _sums(kept.astype(np.int64), np.array(counts)).astype(np.int64)
-    names = np.flatnonzero(common)
-    return names, np.searchsorted(names, place[kept]).astype(np.int32), share[kept], counts
+        blocks.append((np.concatenate(place), np.concatenate(share), np.array([len(x) for x in place])))
+        held += np.bincount(blocks[-1][0], minlength=1 << BITS)
+    common = held >= 3
+    at = (np.cumsum(common) - 1).astype(np.int32)
+    for i, (bucket, part, counts) in enumerate(blocks):
+        kept = common[bucket]
+        blocks[i] = at[bucket[kept]], part[kept], _sums(kept.astype(np.int64), counts).astype(np.int64)
+    return np.flatnonzero(common), blocks
 
 
 def train(texts: Sequence[str], labels: Sequence[int], size: int = 8, epochs: int = 400, seed: int = 11, shrink: float = _SHRINK) -> Model:
@@ -112,8 +114,9 @@ def train(texts: Sequence[str], labels: Sequence[int], size: int = 8, epochs: in
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS), float(20.0 * (y.mean() - 0.5)) if len(y) else -20.0)
-    names, place, share, counts = _shares(texts)
-    share *= np.float32(_SCALE)
+    names, blocks = _shares(texts)
+    blocks = [(place, share * np.float32(_SCALE), counts) for place, share, counts in blocks]
+    ends = np.cumsum([len(counts) for _, _, counts in blocks])
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     rng = np.random.default_rng(seed)
     embed, soft, bias = np.zeros((len(names), size)), rng.normal(0, 0.5, (2, size)), np.zeros(2)
@@ -122,7 +125,7 @@ def train(texts: Sequence[str], labels: Sequence[int], size: int = 8, epochs: in
 
     def logits() -> np.ndarray:
         value = (embed @ (soft[1] - soft[0])).astype(np.float32)
-        return _sums(share * value[place], counts)
+        return np.concatenate([_sums(share * value[place], counts) for place, share, counts in blocks])
 
     def error(logit: np.ndarray | float, truth: np.ndarray | float) -> np.ndarray | float:
         return 1.0 / (1.0 + np.exp(-np.clip(logit + bias[1] - bias[0], -60, 60))) - truth
@@ -130,7 +133,9 @@ def train(texts: Sequence[str], labels: Sequence[int], size: int = 8, epochs: in
     for turn in range(1, epochs + 1):
         err = error(logits(), y) * weight
         tilt, lean = soft[1] - soft[0], err.sum() + error(0.0, 0.0) * _EMPTY_WEIGHT
-        pull = np.bincount(place, share * np.repeat(err.astype(np.float32), counts), minlength=len(names))
+        pull = np.zeros(len(names))
+        for (place, share, counts), own in zip(blocks, np.split(err.astype(np.float32), ends[:-1]), strict=True):
+            pull += np.bincount(place, share * np.repeat(own, counts), minlength=len(names))
         mean_pull = pull @ embed
         grads = [pull[:, None] * tilt, np.stack([-mean_pull, mean_pull]) + 1e-4 * soft, np.array([-lean, lean])]
         penalty = penalty or shrink * float(np.abs(pull).max(initial=0.0) * np.sqrt(tilt @ tilt))

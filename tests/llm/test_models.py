@@ -90,11 +90,14 @@ def test_scores_are_means_over_all_subwords_of_whole_texts(monkeypatch):
     assert model.scores(texts).tolist() == together.tolist() and model.scores([]).tolist() == []
 
 
-def test_shares_of_common_subwords_match_counts():
+def test_shares_of_common_subwords_match_counts(monkeypatch):
+    monkeypatch.setattr(toxicity, "_TOGETHER", 30)  # several groups
     texts = ["the cat sat on the mat", "the mat", "", "on the mat the cat", "cats"]
     own = [Counter(b for n in toxicity.ORDERS for b in grams(t, n, toxicity.BITS)[: max(0, len(ngrams.plain(t)) - n + 1)]) for t in texts]
     held = Counter(b for c in own for b in c)
-    names, place, share, counts = toxicity._shares(texts)
+    names, blocks = toxicity._shares(texts)
+    assert len(blocks) > 1
+    place, share, counts = (np.concatenate(part) for part in zip(*blocks))
     assert set(names.tolist()) == {b for b, n in held.items() if n >= 3} and counts.sum() == len(place) == len(share)
     for c, p, x in zip(own, np.split(place, np.cumsum(counts)[:-1]), np.split(share, np.cumsum(counts)[:-1])):
         assert {int(names[i]): pytest.approx(float(v)) for i, v in zip(p, x)} == {b: n / sum(c.values()) for b, n in c.items() if held[b] >= 3}
